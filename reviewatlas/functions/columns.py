@@ -119,7 +119,9 @@ def niche_from_path(crumbs: Column | str, categories: Column | str) -> Column:
 
 
 def first_image(main: Column | str, urls: Column | str) -> Column:
-    return F.coalesce(_col(main), F.get(_col(urls), F.lit(0)))
+    """Image of the ``main`` struct where there is one, else the first of the list."""
+    main = _col(main)
+    return F.when(main.isNotNull(), main["imageUrl"]).otherwise(F.get(_col(urls), F.lit(0)))
 
 
 def breakdown_map(c: Column | str) -> Column:
@@ -167,8 +169,8 @@ def product_label(
     ).otherwise(title)
     return F.concat(
         F.lit("["), _col(asin), F.lit("] "), short, F.lit(" | ⭐"),
-        F.format_number(_col(rating), "0.0"), F.lit(" ("),
-        F.format_number(_col(total), "#,##0"), F.lit(")"),
+        F.when(_col(rating).isNotNull(), F.format_string("%.1f", _col(rating))), F.lit(" ("),
+        F.format_number(_col(total), 0), F.lit(")"),
     )
 
 

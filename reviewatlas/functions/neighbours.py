@@ -57,9 +57,8 @@ def nearest_within(
 
     def halo(order: Sequence[Column], first: int, last: int, name: str) -> DataFrame:
         edge = top_k(items, g, order, k + 1)
-        sent = edge.select(
-            *group, (F.col("_b") + F.explode(F.sequence(F.lit(first), F.lit(last)))).alias("_b"), x, key
-        )
+        targets = F.sequence(F.col("_b") + first, F.col("_b") + last)
+        sent = edge.select(*group, F.explode(targets).alias("_b"), x, key)
         return top_k(sent, g, order, k + 1).groupBy(*g).agg(F.collect_list(item).alias(name))
 
     below = halo([F.desc(x), F.asc(key)], 1, left_reach, "_below")

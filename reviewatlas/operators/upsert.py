@@ -47,8 +47,10 @@ def upsert(
     policy: Policy | Mapping[str, Policy] = "overwrite",
     insert: Mapping[str, Column] | None = None,
     insert_new: bool = True,
+    only_if: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Merge ``source`` into ``target``.
+    """Merge ``source`` into ``target``. ``only_if`` sees the old row as a struct; where it is
+    not true the old row stays as it is.
 
     With a mapping, columns without a policy keep the old value; rows that are new take the
     source values, or the ``insert`` expression of a column where one is given. The source is
@@ -73,6 +75,8 @@ def upsert(
         rule = policy.get(name, "keep") if isinstance(policy, Mapping) else policy
         merged = F.when(F.col("_new").isNull(), old)
         merged = merged.when(F.col("_old").isNull(), F.col("_ins").getField(name))
+        if only_if is not None:
+            merged = merged.when(~F.coalesce(only_if(F.col("_old")), F.lit(False)), old)
         return merged.otherwise(_merge(rule, old, new)).alias(name)
 
     return both.select(*[c if c in keys else column(c) for c in target.columns])

@@ -206,9 +206,8 @@ class Tables:
         """Each family head against the next one."""
         key = F.col("p_partkey")
         heads = self.raw("part").filter(key % 5 == 0).select(key)
-        return heads.join(heads.select((key - 5).alias("p_partkey")), "p_partkey").select(
-            asin(key).alias("a"), asin(key + 5).alias("b")
-        )
+        following = heads.select(key.alias("_next"))
+        return heads.join(following, key + 5 == F.col("_next")).select(asin(key).alias("a"), asin("_next").alias("b"))
 
 
 # --- the same mapping in SQL --------------------------------------------------------------

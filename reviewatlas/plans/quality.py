@@ -108,9 +108,9 @@ def _(t):
 
 
 @query("unscraped_parents", """SELECT parent_asin FROM product_parents
-    WHERE parent_asin NOT IN (SELECT parent_asin FROM reviews WHERE rating_score >= 5)""", ["product_parents", "reviews"])
+    WHERE parent_asin NOT IN (SELECT parent_asin FROM reviews WHERE review_date < DATE '1995-02-10')""", ["product_parents", "reviews"])
 def _(t):
-    return quality.unscraped_parents(t.product_parents, t.reviews.filter("rating_score >= 5"))
+    return quality.unscraped_parents(t.product_parents, t.reviews.filter("review_date < DATE'1995-02-10'"))
 
 
 @query("missing_metadata", """SELECT parent_asin FROM (SELECT parent_asin, CASE WHEN image_url IS NOT NULL THEN brand END AS brand FROM product_parents)

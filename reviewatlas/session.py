@@ -18,6 +18,7 @@ def build_session(app: str = "reviewatlas", cores: str | None = None) -> SparkSe
             .config("spark.driver.memory", "12g")
             .config("spark.sql.shuffle.partitions", "8")
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
         )
     spark = (
         builder.config("spark.sql.session.timeZone", "UTC")

@@ -73,6 +73,7 @@ def main() -> None:
     sf = os.environ.get("SF", "0.001")
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session("check", "8")
+    spark.sparkContext.setLogLevel("OFF")
     con = open_tables(sf_dir)
     table = registry.load()
     names = [n for n in table if not sys.argv[1:] or any(n.startswith(a) for a in sys.argv[1:])]
@@ -82,7 +83,7 @@ def main() -> None:
         try:
             problem = check(spark, con, (registry.runner(name), table[name].oracle), sf_dir)
         except Exception as e:  # a report of every query is wanted
-            problem = f"{type(e).__name__}: {str(e)[:1500]}"
+            problem = f"{type(e).__name__}: {" ".join(str(e).split("\tat")[0].split())[:700]}"
         bad += problem is not None
         if problem or "-v" in os.environ.get("CHECK", ""):
             print(f"{name}: {problem or 'ok'} ({time.time() - start:.1f}s)", flush=True)
