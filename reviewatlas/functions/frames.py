@@ -48,7 +48,7 @@ def paged_list(df: DataFrame, keys: Keys, item: str, out: str, page: int = 500,
     )
 
 
-def previous_rows(df: DataFrame, keys: Keys, ts: str, columns: Sequence[str], cell: str = "1 day") -> DataFrame:
+def previous_rows(df: DataFrame, keys: Keys, ts: str, columns: Sequence[str], cell_hours: int = 24) -> DataFrame:
     """Add ``prev_<column>`` from the row before in time order (ties by the columns).
 
     The order is cut into time cells: ``lag`` runs inside (key, cell), and the first row of a
@@ -56,8 +56,8 @@ def previous_rows(df: DataFrame, keys: Keys, ts: str, columns: Sequence[str], ce
     only window over a whole key runs on one row per cell.
     """
     keys = _list(keys)
-    seconds = F.expr(f"extract(epoch from interval '{cell}')").cast("bigint")
-    cells = df.withColumn("_cell", F.floor(F.unix_timestamp(ts) / seconds))
+    second = F.unix_seconds(F.col(ts).cast("timestamp"))
+    cells = df.withColumn("_cell", F.floor(second / (cell_hours * 3600)))
     row = F.struct(ts, *columns)
     inside = Window.partitionBy(*keys, "_cell").orderBy(ts, *columns)
     rows = cells.withColumn("_prev", F.lag(row).over(inside))

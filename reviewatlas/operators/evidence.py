@@ -160,9 +160,9 @@ def filter_catalogue(
 
 def niche_values(rows: DataFrame) -> DataFrame:
     """Single niches of comma-joined lists, without placeholders."""
-    value = F.trim(F.explode(F.split("niche", ",")))
     return (
-        rows.select("niche").distinct().select(value.alias("niche"))
+        rows.select("niche").distinct().select(F.explode(F.split("niche", ",")).alias("_v"))
+        .select(F.trim("_v").alias("niche"))
         .filter((F.col("niche") != "") & ~F.col("niche").isin(*C.PLACEHOLDER_NICHES))
         .distinct()
     )

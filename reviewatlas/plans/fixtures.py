@@ -88,7 +88,7 @@ class Tables:
             (F.col("l_linestatus") == "O").alias("is_verified"),
             n.alias("helpful_count"),
             F.when(n % 4 == 0, "PENDING").when(n % 4 == 1, "QUEUED").otherwise("COMPLETED").alias("mining_status"),
-            F.date_add(day, 1).cast("timestamp").alias("ingested_at"),
+            F.date_add(day, 1).cast("timestamp_ntz").alias("ingested_at"),
             F.col("l_returnflag").alias("_flag"), pk.alias("_pk"), F.col("l_suppkey").alias("_sk"),
             F.col("l_extendedprice").alias("_price"), F.col("l_orderkey").alias("_ok"), n.alias("_ln"),
         )
@@ -137,7 +137,7 @@ class Tables:
         return named.withColumn("t", F.explode(both)).select(
             F.concat_ws("#", "review_id", "t.no").alias("tag_id"),
             "review_id", "parent_asin", "t.category", "t.aspect", "t.sentiment",
-            F.col("review_date").cast("timestamp").alias("created_at"), *extra,
+            F.col("review_date").cast("timestamp_ntz").alias("created_at"), *extra,
         )
 
     @cached_property

@@ -199,7 +199,7 @@ _STALE = """
 def stored_stats(t):
     """Families whose statistics were computed before; the others never were."""
     known = t.products.filter("asin = parent_asin").filter(F.substring("asin", 2, 9).cast("bigint") % 3 != 0)
-    return known.select("asin", F.to_timestamp(F.lit("2000-01-01")).alias("last_updated"))
+    return known.select("asin", F.to_timestamp_ntz(F.lit("2000-01-01")).alias("last_updated"))
 
 
 @query("stale_products", _STALE, ["reviews", "products", "review_tags"])
