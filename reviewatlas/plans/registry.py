@@ -34,7 +34,7 @@ def query(name: str, oracle: str | None = None, needs: tuple[str, ...] | list[st
 
 def load() -> dict[str, Query]:
     """All queries, grouped by topic."""
-    from reviewatlas.plans import cleaning, comparing, evidence, linking, quality, social, stats, tagging  # noqa: F401
+    from reviewatlas.plans import cleaning, comparing, evidence, linking, quality, social, stats, streams, tables, tagging  # noqa: F401
 
     return QUERIES
 
