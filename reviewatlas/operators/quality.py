@@ -217,13 +217,18 @@ def newly_filled(left: DataFrame, right: DataFrame, key: str, column: str) -> Da
 def keyword_totals(reviews: DataFrame, groups: dict[str, list[str]], text: Column | None = None) -> DataFrame:
     """Reviews per family and keyword group, in one pass over the texts; groups without a hit
     are absent. No phrase is joined: each group is a predicate of the scan."""
-    from reviewatlas.functions.columns import any_keyword
+    lowered = reviews.select("parent_asin", F.lower(F.col("text") if text is None else text).alias("_low"))
+
+    def hit(words: list[str]) -> Column:
+        found = F.lit(False)
+        for word in words:
+            found = found | F.col("_low").contains(word.lower())
+        return found
 
-    text = F.col("text") if text is None else text
     names = list(groups)
-    sums = [F.count_if(any_keyword([text], groups[n])).alias(f"g{i}") for i, n in enumerate(names)]
+    sums = [F.count_if(hit(groups[n])).alias(f"g{i}") for i, n in enumerate(names)]
     long = F.explode(F.array(*[F.struct(F.lit(n).alias("grp"), F.col(f"g{i}").alias("cnt")) for i, n in enumerate(names)]))
-    return reviews.groupBy("parent_asin").agg(*sums).select("parent_asin", long.alias("r")).select("parent_asin", "r.*")
+    return lowered.groupBy("parent_asin").agg(*sums).select("parent_asin", long.alias("r")).select("parent_asin", "r.*")
 
 
 def verify_phrases(reviews: DataFrame, phrases: Sequence[str]) -> DataFrame:

@@ -9,22 +9,12 @@ from pyspark.sql import functions as F
 
 from reviewatlas.functions.frames import keep_one
 
-# How letters and numbers of the driver tables read in the data model.
-FLAG_SENTIMENT = {"N": "Positive", "R": "Negative", "A": "Neutral"}
-QUEUE_STATUS = {"F": "COMPLETED", "O": "PENDING_APPROVAL", "P": "IN_PROGRESS"}
-PLATFORMS = ["tiktok", "facebook", "instagram"]
+_PLATFORM = "element_at(array('tiktok', 'facebook', 'instagram'), CAST(user_id % 3 + 1 AS INT))"
 
 
-def asin(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.concat(F.lit("A"), F.lpad(c.cast("string"), 9, "0"))
-
-
-def _case(c: Column, table: dict[str, str]) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for raw, value in table.items():
-        out = out.when(c == raw, value)
-    return out
+def asin(key: str) -> str:
+    """SQL for the product id of a number."""
+    return f"'A' || lpad(CAST({key} AS STRING), 9, '0')"
 
 
 class Tables:
@@ -32,33 +22,30 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     @cached_property
     def products(self) -> DataFrame:
-        p = F.col("p_partkey")
-        share = F.format_string(
-            '{"5": %d, "4": 20, "3": 10, "2": %d, "1": %d}', 40 + p % 20, 5 + p % 7, 1 + p % 9
-        )
-        return self.raw("part").select(
-            asin(p).alias("asin"),
-            asin(p - p % 5).alias("parent_asin"),
-            F.col("p_name").alias("title"),
-            F.col("p_brand").alias("brand"),
-            F.when(p % 9 != 0, F.format_string("http://img.example/%d.jpg", p)).alias("image_url"),
-            F.split("p_name", " ")[0].alias("material"),
-            F.split("p_name", " ")[1].alias("main_niche"),
-            F.when(p % 6 == 1, "Kids").when(p % 6 == 2, "Adults").alias("target_audience"),
-            F.when(p % 4 != 0, F.concat(F.lit("S"), F.col("p_size").cast("string"))).alias("size_capacity"),
-            F.concat(F.lit("L"), (F.col("p_size") % 10).cast("string")).alias("product_line"),
-            F.when(p % 3 != 0, (p % 4).cast("int")).alias("variation_count"),
-            F.when(p % 11 != 0, 1.0 + (p * 7 % 41) / 10.0).alias("real_average_rating"),
-            F.when(p % 13 != 0, p * 37 % 1000).alias("real_total_ratings"),
-            F.when(p % 35 == 0, F.lit(None).cast("string")).when(p % 55 == 0, "{}").otherwise(share)
-            .alias("rating_breakdown"),
-            F.col("p_type").alias("category"),
+        return self.raw("part").selectExpr(
+            f"{asin('p_partkey')} AS asin",
+            f"{asin('p_partkey - p_partkey % 5')} AS parent_asin",
+            "p_name AS title", "p_brand AS brand", "p_type AS category",
+            "CASE WHEN p_partkey % 9 <> 0 THEN 'http://img.example/' || p_partkey || '.jpg' END AS image_url",
+            "split(p_name, ' ')[0] AS material", "split(p_name, ' ')[1] AS main_niche",
+            "CASE p_partkey % 6 WHEN 1 THEN 'Kids' WHEN 2 THEN 'Adults' END AS target_audience",
+            "CASE WHEN p_partkey % 4 <> 0 THEN 'S' || p_size END AS size_capacity",
+            "'L' || (p_size % 10) AS product_line",
+            "CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_partkey % 4 AS INT) END AS variation_count",
+            "CASE WHEN p_partkey % 11 <> 0 THEN 1.0D + (p_partkey * 7 % 41) / 10.0D END AS real_average_rating",
+            "CASE WHEN p_partkey % 13 <> 0 THEN p_partkey * 37 % 1000 END AS real_total_ratings",
+            """CASE WHEN p_partkey % 35 = 0 THEN NULL WHEN p_partkey % 55 = 0 THEN '{}' ELSE
+                '{"5": ' || (40 + p_partkey % 20) || ', "4": 20, "3": 10, "2": ' || (5 + p_partkey % 7)
+                || ', "1": ' || (1 + p_partkey % 9) || '}' END AS rating_breakdown""",
         )
 
     @cached_property
@@ -75,22 +62,20 @@ class Tables:
     @cached_property
     def reviews_raw(self) -> DataFrame:
         """Duplicated ids are kept; text is not attached."""
-        n, day = F.col("l_linenumber"), F.to_date("l_shipdate")
-        pk = F.col("l_partkey")
-        return self.raw("lineitem").select(
-            F.concat_ws("", F.lit("R"), "l_orderkey", F.lit("_"), n).alias("review_id"),
-            asin(pk - pk % 5).alias("parent_asin"),
-            asin(pk).alias("child_asin"),
-            F.concat(F.lit("Size "), (F.col("l_suppkey") % 5).cast("string")).alias("variation_text"),
-            F.concat(F.lit("U"), F.col("l_suppkey").cast("string")).alias("author_name"),
-            (1.0 + F.col("l_quantity") % 5).alias("rating_score"),
-            day.alias("review_date"),
-            (F.col("l_linestatus") == "O").alias("is_verified"),
-            n.alias("helpful_count"),
-            F.when(n % 4 == 0, "PENDING").when(n % 4 == 1, "QUEUED").otherwise("COMPLETED").alias("mining_status"),
-            F.date_add(day, 1).cast("timestamp_ntz").alias("ingested_at"),
-            F.col("l_returnflag").alias("_flag"), pk.alias("_pk"), F.col("l_suppkey").alias("_sk"),
-            F.col("l_extendedprice").alias("_price"), F.col("l_orderkey").alias("_ok"), n.alias("_ln"),
+        return self.raw("lineitem").selectExpr(
+            "'R' || l_orderkey || '_' || l_linenumber AS review_id",
+            f"{asin('l_partkey - l_partkey % 5')} AS parent_asin",
+            f"{asin('l_partkey')} AS child_asin",
+            "'Size ' || (l_suppkey % 5) AS variation_text",
+            "'U' || l_suppkey AS author_name",
+            "1.0D + l_quantity % 5 AS rating_score",
+            "CAST(l_shipdate AS DATE) AS review_date",
+            "l_linestatus = 'O' AS is_verified",
+            "l_linenumber AS helpful_count",
+            "CASE l_linenumber % 4 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'QUEUED' ELSE 'COMPLETED' END AS mining_status",
+            "CAST(date_add(CAST(l_shipdate AS DATE), 1) AS TIMESTAMP_NTZ) AS ingested_at",
+            "l_returnflag AS _flag", "l_partkey AS _pk", "l_suppkey AS _sk", "l_extendedprice AS _price",
+            "l_orderkey AS _ok", "l_linenumber AS _ln",
         )
 
     @cached_property
@@ -118,26 +103,15 @@ class Tables:
         named = df.join(
             self.raw("part").select(F.col("p_partkey").alias("_pk"), F.split("p_name", " ").alias("_words")), "_pk"
         )
-        niche, material = F.col("_words")[1], F.col("_words")[0]
-        rated = F.when(F.col("rating_score") >= 4, "Positive").when(F.col("rating_score") <= 2, "Negative").otherwise("Neutral")
-
-        def tag(no: int, category: str, aspect: Column, sentiment: Column) -> Column:
-            return F.struct(
-                F.lit(no).alias("no"), F.lit(category).alias("category"),
-                aspect.alias("aspect"), sentiment.alias("sentiment"),
-            )
-
-        first = tag(
-            1, "Quality",
-            F.when(F.col("_ln") % 3 == 0, F.upper(niche)).otherwise(niche),
-            _case(F.col("_flag"), FLAG_SENTIMENT),
-        )
-        second = tag(2, "Material", material, rated)
-        both = F.when(F.col("_ln") % 2 == 0, F.array(first, second)).otherwise(F.array(first))
-        return named.withColumn("t", F.explode(both)).select(
-            F.concat_ws("#", "review_id", "t.no").alias("tag_id"),
-            "review_id", "parent_asin", "t.category", "t.aspect", "t.sentiment",
-            F.col("review_date").cast("timestamp_ntz").alias("created_at"), *extra,
+        first = """named_struct('no', 1, 'category', 'Quality',
+            'aspect', IF(_ln % 3 = 0, upper(_words[1]), _words[1]),
+            'sentiment', CASE _flag WHEN 'N' THEN 'Positive' WHEN 'R' THEN 'Negative' ELSE 'Neutral' END)"""
+        second = """named_struct('no', 2, 'category', 'Material', 'aspect', _words[0],
+            'sentiment', CASE WHEN rating_score >= 4 THEN 'Positive' WHEN rating_score <= 2 THEN 'Negative' ELSE 'Neutral' END)"""
+        tags = named.withColumn("t", F.expr(f"explode(IF(_ln % 2 = 0, array({first}, {second}), array({first})))"))
+        return tags.selectExpr(
+            "review_id || '#' || t.no AS tag_id", "review_id", "parent_asin", "t.category", "t.aspect", "t.sentiment",
+            "CAST(review_date AS TIMESTAMP_NTZ) AS created_at", *extra,
         )
 
     @cached_property
@@ -162,52 +136,40 @@ class Tables:
 
     @cached_property
     def social_posts(self) -> DataFrame:
-        user, value = F.col("user_id"), F.col("value")
-        return self.raw("events").select(
-            F.element_at(F.array(*[F.lit(p) for p in PLATFORMS]), (user % 3 + 1).cast("int")).alias("platform"),
-            F.col("event_id").cast("string").alias("post_id"),
-            F.col("event_type").alias("keyword"),
-            F.concat(F.lit("u"), user.cast("string")).alias("author"),
-            F.concat(F.lit("new "), "event_type", F.lit(" post #"), "event_type", F.lit(" #k"), F.get_json_object("props", "$.k")).alias("text"),
-            F.concat(F.lit("http://s.example/"), F.col("event_id").cast("string")).alias("url"),
-            F.floor(value * 5).alias("likes"), F.floor(value * 10).alias("shares"),
-            F.floor(value).alias("comments_count"), F.floor(value * 1000).alias("views"),
-            F.col("ts").alias("created_at"),
+        return self.raw("events").selectExpr(
+            f"{_PLATFORM} AS platform", "CAST(event_id AS STRING) AS post_id", "event_type AS keyword", "'u' || user_id AS author",
+            "'new ' || event_type || ' post #' || event_type || ' #k' || get_json_object(props, '$.k') AS text",
+            "'http://s.example/' || event_id AS url", "floor(value * 5) AS likes", "floor(value * 10) AS shares",
+            "floor(value) AS comments_count", "floor(value * 1000) AS views", "ts AS created_at",
         )
 
     @cached_property
     def charges(self) -> DataFrame:
-        return self.raw("events").select(
-            F.col("event_id").alias("log_id"), "user_id",
-            F.element_at(F.array(*[F.lit(p) for p in PLATFORMS]), (F.col("user_id") % 3 + 1).cast("int")).alias("platform"),
-            (F.col("value") / 1000).alias("cost_usd"), F.col("ts").alias("timestamp"),
+        return self.raw("events").selectExpr(
+            "event_id AS log_id", "user_id", f"{_PLATFORM} AS platform", "value / 1000 AS cost_usd", "ts AS timestamp"
         )
 
     @cached_property
     def users(self) -> DataFrame:
-        return self.raw("customer").select(
-            F.col("c_custkey").alias("user_id"), (1.0 + F.col("c_custkey") % 5).alias("monthly_budget")
-        )
+        return self.raw("customer").selectExpr("c_custkey AS user_id", "1.0D + c_custkey % 5 AS monthly_budget")
 
     @cached_property
     def scrape_queue(self) -> DataFrame:
-        parts = self.raw("part").agg(F.count("*")).scalar()
-        return self.raw("orders").select(
-            F.col("o_orderkey").cast("string").alias("request_id"),
-            asin(F.col("o_orderkey") % parts).alias("asin"),
-            _case(F.col("o_orderstatus"), QUEUE_STATUS).alias("status"),
-            F.col("o_custkey").alias("requested_by"),
-            F.when(F.col("o_orderkey") % 3 == 0, "urgent").alias("note"),
-            F.col("o_orderdate").alias("created_at"),
+        parts = self.raw("part").agg(F.count("*").alias("_parts"))
+        orders = self.raw("orders").withColumn("_parts", parts.scalar())
+        return orders.selectExpr(
+            "CAST(o_orderkey AS STRING) AS request_id", f"{asin('o_orderkey % _parts')} AS asin",
+            "CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'PENDING_APPROVAL' WHEN 'P' THEN 'IN_PROGRESS' END AS status",
+            "o_custkey AS requested_by", "CASE WHEN o_orderkey % 3 = 0 THEN 'urgent' END AS note", "o_orderdate AS created_at",
         )
 
     @cached_property
     def pairs(self) -> DataFrame:
         """Each family head against the next one."""
-        key = F.col("p_partkey")
-        heads = self.raw("part").filter(key % 5 == 0).select(key)
-        following = heads.select(key.alias("_next"))
-        return heads.join(following, key + 5 == F.col("_next")).select(asin(key).alias("a"), asin("_next").alias("b"))
+        heads = self.raw("part").filter("p_partkey % 5 = 0")
+        ours = heads.selectExpr("p_partkey + 5 AS _next", f"{asin('p_partkey')} AS a")
+        theirs = heads.selectExpr("p_partkey AS _next", f"{asin('p_partkey')} AS b")
+        return ours.join(theirs, "_next").select("a", "b")
 
 
 # --- the same mapping in SQL --------------------------------------------------------------

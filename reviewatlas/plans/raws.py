@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewatlas.plans.fixtures import CTES, Tables, asin
+from reviewatlas.plans.fixtures import CTES, Tables
+
+
+def asin(key: F.Column) -> F.Column:
+    return F.concat(F.lit("A"), F.lpad(key.cast("string"), 9, "0"))
 
 
 def raw_reviews(t: Tables) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import (
+    BooleanType, DataType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
+)
 
 # Table layouts of the data model.
 _DDL = {
@@ -54,7 +56,19 @@ _DDL = {
         bug_report string, other_comment string, created_at timestamp""",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES: dict[str, DataType] = {
+    "string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType(),
+    "boolean": BooleanType(), "date": DateType(), "timestamp": TimestampType(),
+}
+
+
+def _schema(ddl: str) -> StructType:
+    """Read without a session, so that the package can be imported before one exists."""
+    pairs = [column.split() for column in ddl.split(",")]
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+SCHEMAS: dict[str, StructType] = {name: _schema(ddl) for name, ddl in _DDL.items()}
 
 
 def conform(

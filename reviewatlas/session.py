@@ -16,7 +16,8 @@ def build_session(app: str = "reviewatlas", cores: str | None = None) -> SparkSe
         builder = (
             builder.master(f"local[{cores}]")
             .config("spark.driver.memory", "12g")
-            .config("spark.sql.shuffle.partitions", "8")
+            .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
         )
@@ -24,6 +25,7 @@ def build_session(app: str = "reviewatlas", cores: str | None = None) -> SparkSe
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
