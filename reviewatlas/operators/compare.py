@@ -400,6 +400,8 @@ def swot(tags: DataFrame, mapping: DataFrame, min_n: int = 3, hi: float = 75.0,
     samples = (
         weak.join(complaints, "parent_asin")
         .filter(F.lower("raw").contains(F.lower("aspect")))
+        # an exchange of its own, so that the join above may be split where one family is hot
+        .repartition("parent_asin", "aspect")
         .groupBy("parent_asin", "aspect").agg(F.min("quote").alias("sample_complaint"))
     )
     return ranked.join(samples, ["parent_asin", "aspect"], "left")

@@ -12,7 +12,7 @@ from reviewatlas.functions import columns as C
 from reviewatlas.functions.frames import keep_one
 from reviewatlas.operators import clean
 from reviewatlas.operators.upsert import (
-    guarded, insert_missing, relink, retain_truth, update_where, upsert,
+    guarded, insert_missing, relink, retain_truth, unseen_rows, update_where, upsert,
 )
 
 
@@ -50,13 +50,11 @@ def link_reviews(raw: DataFrame, reviews: DataFrame, products: DataFrame, parent
     linked = raw.join(known, F.col("child_asin") == F.col("_child"), "left").withColumn(
         "parent_asin", F.coalesce("_parent", "parent_asin")
     ).drop("_child", "_parent")
-    unseen = linked.join(reviews.select("review_id"), "review_id", "left_anti")
+    unseen = unseen_rows(reviews, linked, ["review_id"])
     order = [F.col(c).asc_nulls_last() for c in linked.columns if c != "review_id"]
     fresh = keep_one(unseen, "review_id", order)
-    missing = (
-        linked.filter(F.col("parent_asin").isNotNull()).select("parent_asin").distinct()
-        .join(parents.select("parent_asin"), "parent_asin", "left_anti")
-    )
+    families = linked.filter(F.col("parent_asin").isNotNull()).select("parent_asin").distinct()
+    missing = unseen_rows(parents, families, ["parent_asin"])
     placeholders = missing.select(
         "parent_asin", F.lit("unknown").alias("category"),
         F.concat(F.lit("Recovered Product: "), "parent_asin").alias("title"),

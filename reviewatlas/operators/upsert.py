@@ -82,10 +82,21 @@ def upsert(
     return both.select(*[c if c in keys else column(c) for c in target.columns])
 
 
+def unseen_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the source whose key the target does not hold.
+
+    The target is first cut to the keys of the source: a semi join whose small side is the
+    delivery, so a long history is scanned for its key column but not shuffled for a small
+    delivery.
+    """
+    keys = list(keys)
+    seen = target.select(*keys).join(source.select(*keys).distinct(), keys, "left_semi").distinct()
+    return source.join(seen, keys, "left_anti")
+
+
 def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Insert-or-ignore: rows of the source whose key the target does not hold."""
-    unseen = source.join(target.select(*keys), list(keys), "left_anti")
-    once = keep_one(unseen, keys, [F.col(c).asc_nulls_last() for c in source.columns])
+    once = keep_one(unseen_rows(target, source, keys), keys, [F.col(c).asc_nulls_last() for c in source.columns])
     return target.unionByName(once, allowMissingColumns=True).select(*target.columns)
 
 
