@@ -167,28 +167,26 @@ def match_competitors(
     )
     pool = heads.filter(F.col("category").isNotNull() & F.col("real_total_ratings").isNotNull())
     members = niche_members(parents).withColumnRenamed("parent_asin", "asin")
-    spot = [F.col("category").alias("category"), F.col("real_total_ratings").cast("bigint").alias("x"), F.col("asin").alias("asin")]
-    nothing = F.lit(None).cast("string")
-    with_line = pool.filter(F.col("product_line").isNotNull())
-    in_niche = pool.join(members, "asin")
-    niche_line = in_niche.filter(F.col("product_line").isNotNull())
-    line = F.col("product_line").alias("line")
-    points = (
-        pool.select(F.lit(0).alias("score"), *spot, nothing.alias("wanted"), nothing.alias("line"))
-        .unionByName(with_line.select(F.lit(1).alias("score"), *spot, nothing.alias("wanted"), line))
-        .unionByName(in_niche.select(F.lit(10).alias("score"), *spot, "wanted", nothing.alias("line")))
-        .unionByName(niche_line.select(F.lit(11).alias("score"), *spot, "wanted", line))
-        .withColumn("grp", F.concat_ws("\x01", "score", "category", F.coalesce("wanted", F.lit("\x02")), F.coalesce("line", F.lit("\x02"))))
-    )
+    blank, sep = F.lit("\x02"), "\x01"
+
+    def group(score: int, wanted: Column, line: Column) -> Column:
+        return F.concat_ws(sep, F.lit(score).cast("string"), "category", wanted, line)
+
+    def placed(rows: DataFrame, scores: tuple[int, int], wanted: Column) -> DataFrame:
+        """Each row in its group without and, where it has a line, with the product line."""
+        with_line = F.when(F.col("product_line").isNotNull(), group(scores[1], wanted, F.col("product_line")))
+        groups = F.explode(F.array_compact(F.array(group(scores[0], wanted, blank), with_line)))
+        return rows.select(groups.alias("grp"), F.col("real_total_ratings").cast("bigint").alias("x"), "asin")
+
+    points = placed(pool, (0, 1), blank).unionByName(placed(pool.join(members, "asin"), (10, 11), F.col("wanted")))
     near = nearest_within(points, ["grp"], "x", "asin", k, bands)
 
-    blank = F.lit("\x02")
-    keys = F.explode(F.array(
-        F.struct(F.lit(0).alias("score"), F.concat_ws("\x01", F.lit("0"), "category", blank, blank).alias("grp")),
-        F.struct(F.lit(1).alias("score"), F.concat_ws("\x01", F.lit("1"), "category", blank, "line").alias("grp")),
-        F.struct(F.lit(10).alias("score"), F.concat_ws("\x01", F.lit("10"), "category", "wanted", blank).alias("grp")),
-        F.struct(F.lit(11).alias("score"), F.concat_ws("\x01", F.lit("11"), "category", "wanted", "line").alias("grp")),
-    ))
+    keys = F.explode(F.array(*[
+        F.struct(F.lit(score).alias("score"), group(score, wanted, line).alias("grp"))
+        for score, wanted, line in (
+            (0, blank, blank), (1, blank, F.col("line")), (10, F.col("wanted"), blank), (11, F.col("wanted"), F.col("line")),
+        )
+    ]))
     asked = mine.select("asin", "x", keys.alias("q")).select(F.col("asin").alias("for_asin"), "x", "q.score", "q.grp")
     lists = asked.join(near, ["grp", "x"])
     classes = (11, 10, 1, 0)

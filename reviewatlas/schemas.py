@@ -77,8 +77,8 @@ def conform(
     renames: dict[str, str] | None = None,
     defaults: dict[str, object] | None = None,
 ) -> DataFrame:
-    """Project ``df`` on ``schema``: raw names are matched without case, casts never fail,
-    and an absent column becomes a typed null or its default."""
+    """Project ``df`` on ``schema``: names are matched without case, casts never fail, and an
+    absent column becomes a typed null or its default. ``renames``: raw name -> column."""
     target = SCHEMAS[schema] if isinstance(schema, str) else schema
     source_of = {to: raw.lower() for raw, to in (renames or {}).items()}
     present = {c.lower(): c for c in df.columns}

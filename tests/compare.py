@@ -71,7 +71,7 @@ def main() -> None:
     from reviewatlas.session import build_session
 
     sf = os.environ.get("SF", "0.001")
-    sf_dir = f"/root/testdata/sf{sf}"
+    sf_dir = os.environ.get("SF_DIR", f"/root/testdata/sf{sf}")
     spark = build_session("check", "8")
     spark.sparkContext.setLogLevel("OFF")
     con = open_tables(sf_dir)

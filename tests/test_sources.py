@@ -74,7 +74,7 @@ def test_conform(spark):
     out = conform(df, SCHEMAS["reviews"], defaults={"mining_status": "PENDING"})
     assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in SCHEMAS["reviews"]]
     assert rows(out, "helpful_count", "mining_status", "review_id") == [(7, "PENDING", None)]
-    assert rows(conform(df, SCHEMAS["reviews"], {"title": "OTHER"}), "title") == [("x",)]
+    assert rows(conform(df, SCHEMAS["reviews"], {"OTHER": "title"}), "title") == [("x",)]
 
 
 def test_review_file_edges(spark, tmp_path):
