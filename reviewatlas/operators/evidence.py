@@ -13,6 +13,7 @@ from reviewatlas.functions.frames import paged_list, top_k
 from reviewatlas.operators import aspects
 from reviewatlas.operators.linkage import parent_lookup
 from reviewatlas.operators.quality import QUEUE_OPEN, keyword_totals
+from reviewatlas.operators.upsert import set_status, update_where
 
 # Keyword groups of the customer-context report.
 AUDIENCE = {
@@ -234,6 +235,30 @@ def triage_requests(requests: DataFrame, products: DataFrame, reviews: DataFrame
     return joined.select("request_id", "asin", "final_asin", decision.alias("decision"), full.alias("full_note"))
 
 
+def accepted_requests(decisions: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """Queue rows of the accepted requests; repeats of one final id become one row."""
+    who = requests.select("request_id", "requested_by")
+    rows = decisions.filter(F.col("decision").startswith("QUEUED")).join(who, "request_id")
+    once = top_k(rows, "final_asin", [F.asc("request_id")], 1)
+    return once.select(
+        "request_id", F.col("final_asin").alias("asin"), F.lit("PENDING_APPROVAL").alias("status"), "requested_by",
+        F.col("full_note").alias("note"), now.alias("created_at"),
+    )
+
+
+def decide_requests(queue: DataFrame, ids: DataFrame, approve: bool) -> DataFrame:
+    """Approve or reject waiting requests by id."""
+    return set_status(queue, ids, "request_id", "READY_TO_SCRAPE" if approve else "REJECTED", "status")
+
+
+def dispatch_requests(queue: DataFrame, asins: DataFrame) -> DataFrame:
+    """Approved requests of the given products go into work; others keep their status."""
+    sent = asins.select("asin").distinct().withColumn("_sent", F.lit(True))
+    ready = F.col("_sent") & (F.col("status") == "READY_TO_SCRAPE")
+    joined = queue.join(sent, "asin", "left")
+    return update_where(joined, ready, status=F.lit("IN_PROGRESS")).select(*queue.columns)
+
+
 def chat_pairs(turns: DataFrame) -> DataFrame:
     """Each user turn with the assistant turn that follows it directly."""
     asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("user_query"))

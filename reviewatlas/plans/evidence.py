@@ -154,7 +154,7 @@ def _(t):
     return evidence.user_requests(t.scrape_queue)
 
 
-@query("triage_requests", """SELECT * FROM (WITH req AS (SELECT request_id, CASE WHEN CAST(request_id AS BIGINT) % 9 = 0 THEN 'Z' || substr(asin, 2) ELSE asin END AS asin, coalesce(note, '') AS note, CAST(request_id AS BIGINT) % 4 = 0 AS force FROM queue),
+_TRIAGE = """SELECT * FROM (WITH req AS (SELECT request_id, CASE WHEN CAST(request_id AS BIGINT) % 9 = 0 THEN 'Z' || substr(asin, 2) ELSE asin END AS asin, coalesce(note, '') AS note, CAST(request_id AS BIGINT) % 4 = 0 AS force FROM queue),
     l AS (SELECT asin, parent_asin FROM products UNION ALL SELECT DISTINCT parent_asin, parent_asin FROM products WHERE parent_asin NOT IN (SELECT asin FROM products)),
     m AS (SELECT req.*, l.parent_asin, coalesce(l.parent_asin, req.asin) AS final_asin FROM req LEFT JOIN l ON l.asin = req.asin),
     rv AS (SELECT parent_asin AS key, count(*) AS n, max(review_date) AS last_date FROM reviews WHERE rating_score = 5 AND helpful_count = 7 GROUP BY 1),
@@ -164,13 +164,41 @@ def _(t):
       CASE WHEN parent_asin IS NULL THEN '[Unknown ASIN] Not in Product DB. Admin verify Parent.' WHEN final_asin <> asin THEN '[Auto-Map] Child ' || asin || ' -> Parent ' || final_asin ELSE '' END
       || CASE WHEN n > 0 AND force THEN ' | [Force Update Requested] Previous Data: ' || n || ' reviews, Last: ' || last_date ELSE '' END
       || CASE WHEN note <> '' THEN ' | ' || note ELSE '' END AS full_note
-    FROM m LEFT JOIN rv ON rv.key = final_asin LEFT JOIN w ON w.key = final_asin)""", ["queue", "products", "reviews"])
+    FROM m LEFT JOIN rv ON rv.key = final_asin LEFT JOIN w ON w.key = final_asin)"""
+
+
+@query("triage_requests", _TRIAGE, ["queue", "products", "reviews"])
 def _(t):
+    return triaged(t)[0]
+
+
+def triaged(t):
+    """(decisions, requests) for the queue's own requests, some under unknown ids."""
     number = F.col("request_id").cast("bigint")
     odd = F.when(number % 9 == 0, F.concat(F.lit("Z"), F.substring("asin", 2, 9))).otherwise(F.col("asin"))
     requests = t.scrape_queue.select("request_id", odd.alias("asin"), F.coalesce("note", F.lit("")).alias("note"), (number % 4 == 0).alias("force"))
     scarce = t.reviews.filter("rating_score = 5 AND helpful_count = 7")
-    return evidence.triage_requests(requests, t.products, scarce, t.scrape_queue.filter("requested_by % 2 = 0"))
+    waiting = t.scrape_queue.filter("requested_by % 2 = 0")
+    return evidence.triage_requests(requests, t.products, scarce, waiting), t.scrape_queue
+
+
+@query("accepted_requests", f"""SELECT d.request_id, final_asin AS asin, 'PENDING_APPROVAL' AS status, requested_by, full_note AS note, DATE '2024-01-31' AS created_at
+    FROM ({_TRIAGE}) d JOIN queue USING (request_id) WHERE decision LIKE 'QUEUED%' QUALIFY row_number() OVER (PARTITION BY final_asin ORDER BY d.request_id) = 1""", ["queue", "products", "reviews"])
+def _(t):
+    return evidence.accepted_requests(*triaged(t), F.to_date(F.lit("2024-01-31")))
+
+
+@query("decided_requests", "SELECT request_id, asin, CASE WHEN status = 'PENDING_APPROVAL' AND requested_by % 2 = 0 THEN 'READY_TO_SCRAPE' WHEN status = 'PENDING_APPROVAL' THEN 'REJECTED' ELSE status END AS status FROM queue", ["queue"])
+def _(t):
+    waiting = t.scrape_queue.filter("status = 'PENDING_APPROVAL'")
+    approved = evidence.decide_requests(t.scrape_queue, waiting.filter("requested_by % 2 = 0"), True)
+    return evidence.decide_requests(approved, waiting.filter("requested_by % 2 <> 0"), False).select("request_id", "asin", "status")
+
+
+@query("dispatched_requests", "SELECT request_id, asin, CASE WHEN status = 'COMPLETED' THEN CASE WHEN asin IN (SELECT asin FROM products WHERE category = 'PROMO') THEN 'IN_PROGRESS' ELSE 'READY_TO_SCRAPE' END ELSE status END AS status FROM queue", ["queue", "products"])
+def _(t):
+    ready = evidence.decide_requests(t.scrape_queue, t.scrape_queue.filter("status = 'COMPLETED'"), True)
+    return evidence.dispatch_requests(ready, t.products.filter("category = 'PROMO'")).select("request_id", "asin", "status")
 
 
 @query("chat_pairs", """SELECT u.conv_id || '_' || u.turn AS chat_id, md5(u.text) AS user_query, md5(a.text) AS ai_response FROM conversations u

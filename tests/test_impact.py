@@ -86,3 +86,16 @@ def test_overlap_of_two_sources(spark):
     left = spark.range(500).select(F.col("id").cast("string").alias("review_id"))
     right = spark.range(9, 509).select(F.col("id").cast("string").alias("review_id"))
     assert rows(quality.overlap(left, right, "review_id")) == [(491, 9, 9, 98.2)]
+
+
+def test_partitioning_does_not_change_results(spark):
+    from reviewatlas.plans import registry
+
+    names = ["estimated_impact", "match_competitors", "better_alternatives", "bursts", "dedup_tags"]
+    seen = {}
+    for parts in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        for name in names:
+            seen.setdefault(name, []).append(rows(registry.runner(name)(spark, "/root/testdata/sf0.001")))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(a == b and a for a, b in seen.values())
