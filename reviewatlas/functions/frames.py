@@ -26,6 +26,16 @@ def top_k(df: DataFrame, by: Keys, order: Sequence[Column], k: int, rank: str |
     return out.withColumnRenamed("_rn", rank) if rank else out.drop("_rn")
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """An exchange of its own on fine keys.
+
+    A step that reuses the partitioning of a join keeps adaptive execution from splitting that
+    join where a key is hot. With this exchange in between the join may be split, and a group
+    limit that follows prunes before it gathers.
+    """
+    return df.repartition(*columns)
+
+
 def keep_one(df: DataFrame, keys: Keys, order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in a total order."""
     return top_k(df, keys, order, 1)
@@ -40,9 +50,9 @@ def paged_list(df: DataFrame, keys: Keys, item: str, out: str, page: int = 500,
     """
     keys = _list(keys)
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(item) / F.lit(page)).alias("_pages"))
+    number = F.pmod(F.xxhash64(item), F.greatest(F.col("_pages"), F.lit(1))).cast("int")
     return (
-        df.join(sizes, keys)
-        .withColumn("page", F.pmod(F.xxhash64(item), F.greatest(F.col("_pages"), F.lit(1))).cast("int"))
+        spread(df.join(sizes, keys).withColumn("page", number), *keys, "page")
         .groupBy(*keys, "page")
         .agg(F.array_join(F.array_sort(F.collect_list(item)), sep).alias(out))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewatlas.functions.columns import primary_niche
-from reviewatlas.functions.frames import keep_one, top_k
+from reviewatlas.functions.frames import keep_one, spread, top_k
 from reviewatlas.functions.neighbours import containment_pairs, nearest_within
 from reviewatlas.operators import aspects
 
@@ -398,10 +398,8 @@ def swot(tags: DataFrame, mapping: DataFrame, min_n: int = 3, hi: float = 75.0,
     samples = (
         weak.join(complaints, "parent_asin")
         .filter(F.lower("raw").contains(F.lower("aspect")))
-        # an exchange of its own, so that the join above may be split where one family is hot
-        .repartition("parent_asin", "aspect")
-        .groupBy("parent_asin", "aspect").agg(F.min("quote").alias("sample_complaint"))
     )
+    samples = spread(samples, "parent_asin", "aspect").groupBy("parent_asin", "aspect").agg(F.min("quote").alias("sample_complaint"))
     return ranked.join(samples, ["parent_asin", "aspect"], "left")
 
 

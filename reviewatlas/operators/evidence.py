@@ -173,7 +173,7 @@ def family_detail(products: DataFrame, parents: DataFrame) -> DataFrame:
     """All variations; a parent without any gets one row of its own with nulls."""
     cols = ["asin", "parent_asin", "title", "brand", "image_url", "category", "main_niche", "material", "size_capacity",
             "target_audience", "product_line", "variation_count", "real_average_rating", "real_total_ratings", "rating_breakdown"]
-    bare = parents.join(products.select("parent_asin"), "parent_asin", "left_anti").select(
+    bare = parents.join(products.select("parent_asin").distinct(), "parent_asin", "left_anti").select(
         F.col("parent_asin").alias("asin"), "parent_asin", "title", "brand", "image_url", "category", F.col("niche").alias("main_niche")
     )
     return products.select(*cols).unionByName(bare, allowMissingColumns=True)
@@ -187,7 +187,7 @@ def first_valid(products: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def products_with_reviews(products: DataFrame, reviews: DataFrame) -> DataFrame:
-    seen = reviews.select(F.col("parent_asin").alias("asin"))
+    seen = reviews.select(F.col("parent_asin").alias("asin")).distinct()
     return products.join(seen, "asin", "left_semi").select(
         F.col("asin").alias("parent_asin"), "brand", "title", F.col("real_average_rating").alias("avg_rating")
     )
@@ -212,11 +212,13 @@ def triage_requests(requests: DataFrame, products: DataFrame, reviews: DataFrame
         F.count("*").alias("reviews"), F.max("review_date").alias("last_date")
     )
     waiting = queue.filter(F.col("status").isin(*QUEUE_OPEN)).select(F.col("asin").alias("final_asin")).distinct().withColumn("_q", F.lit(True))
+    # what is known of an id in one row: the requests are joined once, also where one id is hot
+    facts = probe.join(waiting, "final_asin", "full")
     mapped = requests.join(parent_lookup(products), "asin", "left")
     known = F.col("parent_asin").isNotNull()
     found = mapped.withColumn("final_asin", F.coalesce("parent_asin", "asin"))
     moved = F.col("final_asin") != F.col("asin")
-    joined = found.join(probe, "final_asin", "left").join(waiting, "final_asin", "left")
+    joined = found.join(facts, "final_asin", "left")
     has_data = F.coalesce(F.col("reviews") > 0, F.lit(False))
     decision = (
         F.when(has_data & ~F.col("force"), "HAS_DATA").when(F.col("_q"), "ALREADY_QUEUED")

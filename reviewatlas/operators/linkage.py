@@ -40,7 +40,9 @@ def parent_lookup(products: DataFrame) -> DataFrame:
     )
 
 
-def link_reviews(raw: DataFrame, reviews: DataFrame, products: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def link_reviews(
+    raw: DataFrame, reviews: DataFrame, products: DataFrame, parents: DataFrame, long_history: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(new reviews, new parent rows) of cleaned review rows.
 
     The family comes from the products where the child id is known. Ids already stored are
@@ -50,11 +52,11 @@ def link_reviews(raw: DataFrame, reviews: DataFrame, products: DataFrame, parent
     linked = raw.join(known, F.col("child_asin") == F.col("_child"), "left").withColumn(
         "parent_asin", F.coalesce("_parent", "parent_asin")
     ).drop("_child", "_parent")
-    unseen = unseen_rows(reviews, linked, ["review_id"])
+    # copies go first, inside the map tasks; the anti join reuses their partitioning
     order = [F.col(c).asc_nulls_last() for c in linked.columns if c != "review_id"]
-    fresh = keep_one(unseen, "review_id", order)
+    fresh = unseen_rows(reviews, keep_one(linked, "review_id", order), ["review_id"], long_history)
     families = linked.filter(F.col("parent_asin").isNotNull()).select("parent_asin").distinct()
-    missing = unseen_rows(parents, families, ["parent_asin"])
+    missing = unseen_rows(parents, families, ["parent_asin"], long_history)
     placeholders = missing.select(
         "parent_asin", F.lit("unknown").alias("category"),
         F.concat(F.lit("Recovered Product: "), "parent_asin").alias("title"),

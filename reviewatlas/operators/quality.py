@@ -220,9 +220,12 @@ def keyword_totals(reviews: DataFrame, groups: dict[str, list[str]], text: Colum
     lowered = reviews.select("parent_asin", F.lower(F.col("text") if text is None else text).alias("_low"))
 
     def hit(words: list[str]) -> Column:
+        """Short words first, as they are met sooner; a word that holds another adds nothing."""
+        short = sorted({w.lower() for w in words}, key=lambda w: (len(w), w))
+        needed = [w for i, w in enumerate(short) if not any(o in w for o in short[:i])]
         found = F.lit(False)
-        for word in words:
-            found = found | F.col("_low").contains(word.lower())
+        for word in needed:
+            found = found | F.col("_low").contains(word)
         return found
 
     names = list(groups)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewatlas.functions.columns import breakdown_map, map_total, star_value
-from reviewatlas.functions.frames import top_k
+from reviewatlas.functions.frames import spread, top_k
 from reviewatlas.operators import aspects
 
 STARS = (1, 2, 3, 4, 5)
@@ -144,7 +144,7 @@ def estimated_impact(
         whole(pos - neg).alias("net_impact"), whole(pos + neg).alias("total_impact_vol"),
     )
     order = [F.desc("total_impact_vol"), F.desc("net_impact"), F.asc("aspect")]
-    return out if k is None else top_k(out, "parent_asin", order, k)
+    return out if k is None else top_k(spread(out, "parent_asin", "aspect"), "parent_asin", order, k)
 
 
 def weighted_scores(
@@ -168,7 +168,7 @@ def weighted_scores(
         F.lit(0.0),
     )
     out = scored.select("parent_asin", "aspect", F.round(score, 8).alias("score"))
-    top = top_k(out, "parent_asin", [F.asc("score"), F.asc("aspect")], k)
+    top = top_k(spread(out, "parent_asin", "aspect"), "parent_asin", [F.asc("score"), F.asc("aspect")], k)
     return top.withColumn("score_pct", F.round(F.col("score") * 100, 6))
 
 

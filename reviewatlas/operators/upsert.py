@@ -82,22 +82,26 @@ def upsert(
     return both.select(*[c if c in keys else column(c) for c in target.columns])
 
 
-def unseen_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+def unseen_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], long_history: bool = False) -> DataFrame:
     """Rows of the source whose key the target does not hold.
 
-    The target is first cut to the keys of the source: a semi join whose small side is the
-    delivery, so a long history is scanned for its key column but not shuffled for a small
-    delivery.
+    ``long_history``: the target is far larger than the delivery. It is then cut to the
+    delivery's keys by a semi join with the small side on the right, so the history is scanned
+    for its key column but not shuffled; the source is evaluated twice for it.
     """
     keys = list(keys)
-    seen = target.select(*keys).join(source.select(*keys).distinct(), keys, "left_semi").distinct()
-    return source.join(seen, keys, "left_anti")
+    held = target.select(*keys)
+    if long_history:
+        held = held.join(source.select(*keys).distinct(), keys, "left_semi").distinct()
+    return source.join(held, keys, "left_anti")
 
 
-def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Insert-or-ignore: rows of the source whose key the target does not hold."""
-    once = keep_one(unseen_rows(target, source, keys), keys, [F.col(c).asc_nulls_last() for c in source.columns])
-    return target.unionByName(once, allowMissingColumns=True).select(*target.columns)
+def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str], long_history: bool = False) -> DataFrame:
+    """Insert-or-ignore: rows of the source whose key the target does not hold. Copies are
+    dropped first, inside the map tasks, so that a key with many copies stays small."""
+    once = keep_one(source, keys, [F.col(c).asc_nulls_last() for c in source.columns])
+    fresh = unseen_rows(target, once, keys, long_history)
+    return target.unionByName(fresh, allowMissingColumns=True).select(*target.columns)
 
 
 def replace_children(children: DataFrame, fresh: DataFrame, parent: str, touched: DataFrame | None = None) -> DataFrame:
@@ -171,6 +175,6 @@ def move_key(
     with_heirs = insert_missing(parents, heirs, ["parent_asin"])
     emptied = (
         moves.select(F.col("old").alias("parent_asin"))
-        .join(moved_products.select("parent_asin"), "parent_asin", "left_anti")
+        .join(moved_products.select("parent_asin").distinct(), "parent_asin", "left_anti")
     )
     return moved_products, moved_reviews, with_heirs.join(emptied, "parent_asin", "left_anti")

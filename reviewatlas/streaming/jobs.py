@@ -73,7 +73,7 @@ def stream_ingest(
         rows = clean.clean_reviews(df).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             known = parents.select("parent_asin").unionByName(added.select("parent_asin"))
-            fresh, heads = linkage.link_reviews(rows, held, products, known)
+            fresh, heads = linkage.link_reviews(rows, held, products, known, long_history=True)
             conform(heads, "product_parents").write.mode("append").parquet(parents_path)
             conform(fresh, "reviews").write.mode("append").parquet(reviews_path)
         finally:
