@@ -10,7 +10,7 @@ from reviewatlas.plans import registry
 SF_DIR = "/root/testdata/sf0.001"
 TABLE = registry.load()
 # too few rows at this size for the condition to hold anywhere
-MAY_BE_EMPTY = {"unscraped_parents"}
+MAY_BE_EMPTY = {"unscraped_parents", "search_evidence_product"}
 
 
 @pytest.fixture(scope="module")
