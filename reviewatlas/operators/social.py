@@ -98,11 +98,12 @@ def normalise_comments(raw: DataFrame, platform: str) -> DataFrame:
     if platform == "tiktok":
         url, author, likes = field(raw, "videoWebUrl"), field(raw, "uniqueId"), field(raw, "diggCount", "bigint")
         replies = field(raw, "replyCount", "bigint")
-        created = F.timestamp_seconds(F.coalesce(field(raw, "createTime", "bigint"), F.lit(0)))
+        epoch = F.coalesce(field(raw, "createTime", "bigint"), F.lit(0))
+        created = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=epoch)
     elif platform == "facebook":
         url, author = field(raw, "postUrl"), field(raw, "profileName")
         likes, replies = F.coalesce(field(raw, "likesCount", "bigint"), F.lit(0)), F.lit(0)
-        created = field(raw, "date", "timestamp")
+        created = field(raw, "date", "timestamp_ntz")
     else:
         raise ValueError(f"no comment layout for {platform!r}")
     text = field(raw, "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    BooleanType, DataType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType,
+    BooleanType, DataType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType,
 )
 
 # Table layouts of the data model.
@@ -58,7 +58,9 @@ _DDL = {
 
 _TYPES: dict[str, DataType] = {
     "string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType(),
-    "boolean": BooleanType(), "date": DateType(), "timestamp": TimestampType(),
+    "boolean": BooleanType(), "date": DateType(),
+    # wall-clock times: the session time zone never shifts them
+    "timestamp": TimestampNTZType(),
 }
 
 

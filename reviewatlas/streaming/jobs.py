@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -111,10 +111,17 @@ def stream_stats(
 
 def _windowed(stream: DataFrame, ts: str, delay: str, width: str, keys: Sequence[str], aggs: Sequence, path: str, checkpoint: str) -> StreamingQuery:
     """Windowed sums in update mode: each batch appends the windows it changed. Rows later
-    than ``delay`` behind the newest one are dropped, which also bounds the state."""
-    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp"))
-    sums = timed.withWatermark("_ts", delay).groupBy(F.window("_ts", width).alias("w"), *keys).agg(*aggs)
-    flat = sums.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in sums.columns if c != "w"])
+    than ``delay`` behind the newest one are dropped, which also bounds the state. Windows
+    follow the wall clock of ``ts``: a day starts at its midnight in any session time zone."""
+    zone = F.current_timezone()
+    clock = F.from_utc_timestamp(F.col(ts).cast("timestamp"), zone)
+    timed = stream.withColumn("_clock", clock).withWatermark("_clock", delay)
+    sums = timed.groupBy(F.window("_clock", width).alias("w"), *keys).agg(*aggs)
+
+    def wall(edge: str) -> Column:
+        return F.to_utc_timestamp(F.col(f"w.{edge}"), zone).cast("timestamp_ntz").alias(f"window_{edge}")
+
+    flat = sums.select(wall("start"), wall("end"), *[c for c in sums.columns if c != "w"])
 
     def batch(df: DataFrame, number: int) -> None:
         df.withColumn("batch", F.lit(number).cast("bigint")).write.mode("append").parquet(path)
