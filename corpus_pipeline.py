@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewatlas.llm import mixing, quality, simhash
+from reviewatlas.llm import decontam, mixing, passages, quality, simhash
 from reviewatlas.llm.common import table, written
 
 #: Columns of documents, as every stage but the last returns them.
@@ -22,8 +22,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; lines above the frequency limits leave the others' texts."""
-    kept = quality.judged(docs.select(*COLUMNS)).where("kept")
-    return _documents(kept.withColumn("text", F.col("text_left")))
+    return _documents(quality.cleaned(docs.select(*COLUMNS)))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +34,26 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return named.dropDuplicates(["doc_id"]).union(nameless).select(*COLUMNS)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds leave the text; a document without any other word goes."""
+    return _documents(passages.without_repeats(docs.select(*COLUMNS)))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item go."""
+    return decontam.uncontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their places in the mix; weights are the square roots of the sources' sizes."""
     return mixing.mixed(docs.select(*COLUMNS))
 
 
 STAGES = [
     ("quality_rules", quality_rules),
     ("simhash_dedup", simhash_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
     ("mixing", mix),
 ]
 

@@ -42,6 +42,11 @@ def word_array(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, also where the optimizer moves the expression into a filter."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser: spreads 64-bit values over 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -7,20 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewatlas.llm import mixing, passages, quality, simhash
+from reviewatlas.llm import decontam, mixing, passages, quality, simhash
 from reviewatlas.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_place", "mix_on_target")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality.judged(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words"
-    )
+    found = quality.verdicts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "removed_words")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op3_mixing": op3_mixing,
         "op4_quality_rules": op4_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
