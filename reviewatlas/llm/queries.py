@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewatlas.llm import decontam, mixing, passages, quality, simhash
+from reviewatlas.llm import compression, decontam, langid, mixing, passages, quality, simhash, urls, warc
 from reviewatlas.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select("doc_id", "source", "mix_block", "mix_slot", "mix_place", "mix_on_target")
@@ -34,13 +39,41 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _remainder(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = docs.where(_remainder(3) != 1).select("text", "lang", F.col("doc_id").alias("key"))
+    found = langid.predict(docs, langid.fit(learn))
+    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.where(_remainder(5) != 0).select("doc_id", "quality")
+    learn = docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality", F.col("doc_id").alias("key"))
+    found = compression.score(docs, compression.fit(learn))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_warc": op2_warc,
         "op3_mixing": op3_mixing,
         "op4_quality_rules": op4_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_simhash": op7_simhash,
+        "op8_language": op8_language,
+        "op9_url_filter": op9_url_filter,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
