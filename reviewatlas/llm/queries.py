@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewatlas.llm import compression, decontam, langid, mixing, passages, quality, simhash, urls, warc
+from reviewatlas.llm import compression, decontam, extract, langid, mixing, passages, quality, simhash, urls, warc
 from reviewatlas.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "removed_words")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract.main_text(pages, extract.fit(pages))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_passages(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_mixing": op3_mixing,
         "op4_quality_rules": op4_quality_rules,
+        "op5_html_extraction": op5_html_extraction,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_simhash": op7_simhash,
         "op8_language": op8_language,
