@@ -50,14 +50,18 @@ CUES = frozenset(
 
 @dataclass
 class Block:
-    """A leaf block: its text as it is read, the features of its ancestors, its own tag, linked characters, and its label in training."""
+    """A leaf block: its text as it is read, the features of its ancestors, its own tag and those just above, linked characters, and its label in training."""
 
     text: str
     above: frozenset[str]
-    tag: str
+    path: str
     linked: int
     label: bool = False
 
+    @property
+    def tag(self) -> str:
+        return self.path.rpartition("/")[2]
+
 
 @dataclass
 class _Open:
@@ -80,8 +84,8 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                top = next((o for o in reversed(stack) if o.name in BLOCK), stack[0])
-                out.append(Block(text, stack[-1].above, top.name, linked, stack[-1].marked))
+                path = [o.name for o in stack[-6:] if o.name in BLOCK][-3:]
+                out.append(Block(text, stack[-1].above, "/".join(path), linked, stack[-1].marked))
             parts.clear()
         linked = 0
 
@@ -154,7 +158,7 @@ def features(found: list[Block]) -> list[list[str]]:
         n = b.text.count(" ") + 1
         cues = CUES.intersection(PARTS.findall(low)) if n <= 40 else ()
         rows.append([
-            "bias", f"tag:{b.tag}", f"words:{_bucket(n, (2, 4, 8, 16, 32, 64))}", f"links:{_bucket(b.linked / len(b.text), (0.05, 0.35, 0.8))}",
+            "bias", f"path:{b.path}", f"tag:{b.tag}", f"words:{_bucket(n, (2, 4, 8, 16, 32, 64))}", f"links:{_bucket(b.linked / len(b.text), (0.05, 0.35, 0.8))}",
             f"ends:{b.text[-1] if b.text[-1] in '.!?:…»”' else 'other'}", f"from start:{_bucket(i, (1, 3, 8))}", f"from end:{_bucket(len(found) - 1 - i, (1, 3, 8))}",
             *(["mark:©"] if "©" in low else []), *(["cue"] if cues else []), *(f"cue:{c}" for c in cues),
         ])
@@ -243,7 +247,7 @@ ASIDE = frozenset(f"in:{x}" for x in "nav aside footer form header menu dialog".
 
 def own_labels(found: list[Block]) -> list[Block]:
     """Labels of a page by its own ``article`` or ``main`` elements."""
-    return [Block(b.text, b.above, b.tag, b.linked, bool(b.above & {"in:article", "in:main"}) and not b.above & ASIDE) for b in found]
+    return [Block(b.text, b.above, b.path, b.linked, bool(b.above & {"in:article", "in:main"}) and not b.above & ASIDE) for b in found]
 
 
 #: (element, its class or id) around each kind of part in pages made for training.
