@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewatlas.llm import compression, decontam, extract, langid, mixing, passages, quality, simhash, urls, warc
+from reviewatlas.llm import compression, decontam, extract, langid, mixing, oracles, passages, quality, simhash, urls, warc
 from reviewatlas.llm.common import table
 
 
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": oracles.warc_sql(), "op4_quality_rules": oracles.quality_sql(), "op9_url_filter": oracles.url_sql()}

@@ -26,6 +26,8 @@ SOFT = (
     "farm", "free", "loan", "loans", "lottery", "nude", "offer", "pill", "pills", "poker", "promo", "sex", "sexy", "slots", "tracker",
     "track", "tracking", "win", "winner",
 )
+#: A term counts where none of these stands next to it.
+NEIGHBOURS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 #: So many different soft terms reject.
 SOFT_LIMIT = 2
 
@@ -55,7 +57,7 @@ def vocabulary(strict=STRICT, soft=SOFT) -> dict[str, int]:
 
 
 def terms_in(urls: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """``urls`` with strict_terms and soft_terms (sorted arrays of the different terms of each kind). A term counts where no letter or digit stands next to it."""
+    """``urls`` with strict_terms and soft_terms (sorted arrays of the different terms of each kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = ahocorasick.Automaton()
@@ -68,7 +70,7 @@ def terms_in(urls: DataFrame, terms: dict[str, int]) -> DataFrame:
                 low, found = (url or "").lower(), (set(), set())
                 for end, (n, weight, term) in machine.iter(low):
                     before, after = low[end - n : end - n + 1] if end >= n else "", low[end + 1 : end + 2]
-                    if not before.isalnum() and not after.isalnum():
+                    if before not in NEIGHBOURS and after not in NEIGHBOURS:
                         found[weight < SOFT_LIMIT].add(term)
                 strict.append(sorted(found[0]))
                 soft.append(sorted(found[1]))

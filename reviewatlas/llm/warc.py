@@ -39,13 +39,14 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from a bounded sample of pages; empty if they are too few to learn from."""
+    """A dictionary from a bounded sample of pages; the end of their text where they are too few to learn from."""
     small = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES))
     rows = small.select("html").orderBy(F.xxhash64("page_id", "html")).limit(sample).collect()
+    texts = [r[0].encode() for r in rows]
     try:
-        return zstandard.train_dictionary(size, [r[0].encode() for r in rows]).as_bytes() if rows else b""
+        return zstandard.train_dictionary(size, texts).as_bytes() if texts else b""
     except zstandard.ZstdError:
-        return b""
+        return b"".join(texts)[-size:].rjust(8)
 
 
 def leading_frame(dictionary: bytes) -> bytes:
@@ -180,7 +181,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
                 if out is None:
                     store.create_dir(base, recursive=True)
                     path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
-                    out = store.open_output_stream(open_store(path)[1])
+                    out = store.open_output_stream(open_store(path)[1], compression=None)
                     out.write(head := leading_frame(dictionary))
                     sizes = [0, len(head)]
                 own = f"urn:page:{ids[i]}" if ids[i] is not None else f"urn:nopage:{digests[i][:32]}"
@@ -212,7 +213,7 @@ def read_archives(paths: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 rows, held = [], 0
                 store, base = open_store(path)
-                with store.open_input_stream(base) as stream:
+                with store.open_input_stream(base, compression=None) as stream:
                     for at, frame in enumerate(frames(stream)):
                         try:
                             headers, block = parse_record(frame)
