@@ -118,10 +118,10 @@ def niche_from_path(crumbs: Column | str, categories: Column | str) -> Column:
     )
 
 
-def first_image(main: Column | str, urls: Column | str) -> Column:
-    """Image of the ``main`` struct where there is one, else the first of the list."""
+def first_image(main: Column | str, urls: Column | str, plain: bool = False) -> Column:
+    """The ``main`` image where there is one, a struct or with ``plain`` its address, else the first of the list."""
     main = _col(main)
-    return F.when(main.isNotNull(), main["imageUrl"]).otherwise(F.get(_col(urls), F.lit(0)))
+    return F.when(main.isNotNull(), main if plain else main["imageUrl"]).otherwise(F.get(_col(urls), F.lit(0)))
 
 
 def breakdown_map(c: Column | str) -> Column:

@@ -41,21 +41,15 @@ def keep_one(df: DataFrame, keys: Keys, order: Sequence[Column]) -> DataFrame:
     return top_k(df, keys, order, 1)
 
 
-def paged_list(df: DataFrame, keys: Keys, item: str, out: str, page: int = 500, sep: str = ",") -> DataFrame:
-    """Join a group's items to text, in pages of about ``page`` items.
+def prefix_lists(df: DataFrame, keys: Keys, item: str, out: str, length: int = 8, sep: str = ",") -> DataFrame:
+    """Join a group's items to ordered text, one row per prefix of ``length`` characters.
 
-    A group up to the page size gives one row (page 0) with its whole list. A larger group is
-    spread by hash over as many pages as it needs, so no task gathers an unbounded list and
-    no item is lost.
+    Where an item goes depends on the item alone, so a group has the same shape at every size: read in the order
+    of ``prefix``, its rows are its whole ordered list. A row holds at most the ids that share a prefix.
     """
     keys = _list(keys)
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(item) / F.lit(page)).alias("_pages"))
-    number = F.pmod(F.xxhash64(item), F.greatest(F.col("_pages"), F.lit(1))).cast("int")
-    return (
-        spread(df.join(sizes, keys).withColumn("page", number), *keys, "page")
-        .groupBy(*keys, "page")
-        .agg(F.array_join(F.array_sort(F.collect_list(item)), sep).alias(out))
-    )
+    placed = df.filter(F.col(item).isNotNull()).withColumn("prefix", F.substring(item, 1, length))
+    return placed.groupBy(*keys, "prefix").agg(F.array_join(F.array_sort(F.collect_list(item)), sep).alias(out))
 
 
 def previous_rows(df: DataFrame, keys: Keys, ts: str, columns: Sequence[str], cell_hours: int = 24) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, StringType
 
 from reviewatlas.functions import columns as C
 from reviewatlas.functions.frames import flatten_structs, keep_one, lower_names
@@ -86,23 +86,36 @@ def clean_reviews(raw: DataFrame, file: Column | None = None) -> DataFrame:
     return typed.filter(F.col("review_id").isNotNull() & F.col("review_date").isNotNull())
 
 
-def infer_category(df: DataFrame, hint: str | None = None, title: str = "title") -> Column:
-    """One category for the whole data set, from words in its titles: a scalar subquery."""
-    if hint:
-        return F.lit(hint)
-    if title not in df.columns:
-        return F.lit(DEFAULT_CATEGORY)
+def _file_of(df: DataFrame, file: Column | str | None) -> Column:
+    """What tells a row's file: the given column, else the path that readers carry. Rows without either form one file."""
+    if file is not None:
+        return F.col(file) if isinstance(file, str) else file
+    return F.col("_metadata.file_path") if "_metadata" in df.columns else F.lit(None).cast("string")
+
+
+def _with_vote(df: DataFrame, file: Column | str | None, name: str, vote: Column) -> DataFrame:
+    """``df`` with an aggregate of each file, counted in one pass and joined back."""
+    placed = df.withColumn("_file", _file_of(df, file))
+    votes = placed.groupBy(F.col("_file").alias("_of")).agg(vote.alias(name))
+    return placed.join(votes, F.col("_file").eqNullSafe(F.col("_of")), "left").drop("_file", "_of")
+
+
+def with_category(df: DataFrame, hint: str | None = None, title: str = "title", file: Column | str | None = None, name: str = "category") -> DataFrame:
+    """``df`` with one category per file, from words in the file's titles, so a row's category does not depend on what else is read."""
+    if hint or title not in df.columns:
+        return df.withColumn(name, F.lit(hint or DEFAULT_CATEGORY))
     seen = [F.bool_or(C.any_keyword([F.col(title)], words)) for words in CATEGORY_WORDS.values()]
     vote = F.lit(DEFAULT_CATEGORY)
-    for name, hit in reversed(list(zip(CATEGORY_WORDS, seen, strict=True))):
-        vote = F.when(hit, name).otherwise(vote)
-    return df.agg(vote).scalar()
+    for category, hit in reversed(list(zip(CATEGORY_WORDS, seen, strict=True))):
+        vote = F.when(hit, category).otherwise(vote)
+    return _with_vote(df, file, name, vote)
 
 
-def default_if_all_null(df: DataFrame, column: str, value: Column) -> DataFrame:
-    """Fill a column only when it holds no value in any row."""
-    filled = df.agg(F.count(column)).scalar()
-    return df.withColumn(column, F.when(filled == 0, value).otherwise(F.col(column)))
+def default_if_all_null(df: DataFrame, column: str, value: Column, file: Column | str | None = None) -> DataFrame:
+    """Fill a column of a file only where the file holds no value of it in any row."""
+    voted = _with_vote(df, file, "_filled", F.count(column))
+    filled = F.when(F.col("_filled") == 0, value).otherwise(F.col(column))
+    return voted.withColumn(column, filled).drop("_filled")
 
 
 def map_product_headers(df: DataFrame, category: Column) -> DataFrame:
@@ -126,25 +139,28 @@ def map_product_headers(df: DataFrame, category: Column) -> DataFrame:
         F.col("asin"),
         (F.col(parent) if parent else F.lit(None).cast("string")).alias("parent_asin"),
         *[pick(n) for n in ("title", "brand", "main_niche", "real_total_ratings", "real_average_rating", "image_url")],
+        *(["_category"] if "_category" in have else []),
     )
 
 
-def clean_products(raw: DataFrame, hint: str | None = None) -> DataFrame:
-    """Typed product rows, one per id: the id in the url wins over the one in the body."""
-    flat = lower_names(flatten_structs(raw))
-    category = infer_category(flat, hint)
+def clean_products(raw: DataFrame, hint: str | None = None, file: Column | str | None = None) -> DataFrame:
+    """Typed product rows, one per id: the id in the url wins over the one in the body.
+
+    The category is voted per file, so one call may read many files; ``file`` names the column that tells them apart where rows
+    carry no ``_metadata``."""
+    where = raw.withColumn("_source", _file_of(raw, file)).drop("_metadata")
+    flat = with_category(lower_names(flatten_structs(where)), hint, file="_source", name="_category").drop("_source")
     if "url" in flat.columns:
         flat = flat.withColumn("asin", F.coalesce(C.url_id("url"), F.col("asin")))
-    mapped = map_product_headers(flat, category)
+    mapped = map_product_headers(flat, F.col("_category"))
     typed = mapped.withColumn("real_average_rating", C.rating_number("real_average_rating"))
     once = keep_one(typed, "asin", [F.col(c).asc_nulls_last() for c in typed.columns])
     branded = once.withColumn("brand", C.clean_brand("brand"))
-    out = conform(branded, "products").select(
+    # the category is never read from a header: it is the vote of the row's file
+    return conform(branded.withColumnRenamed("_category", "category"), "products").select(
         "asin", "parent_asin", "title", "brand", "image_url", "real_average_rating", "real_total_ratings",
-        "rating_breakdown", "variation_count", "material", "main_niche",
+        "rating_breakdown", "variation_count", "material", "main_niche", "category",
     )
-    # the category is never read from a header, so the whole column takes the vote
-    return out.withColumn("category", category)
 
 
 def attributes_to_columns(details: Column, key_map: Mapping[str, Sequence[str]] = ATTRIBUTES, sep: str = " | ") -> list[Column]:
@@ -206,11 +222,12 @@ def clean_details(raw: DataFrame, category: str, seq: str) -> DataFrame:
     scraped = F.coalesce(C.blank_to_null("brand"), C.clean_brand("manufacturer", "detail"))
     listed = last_attribute(F.filter(details, lambda d: d["value"] != ""), ["brand"], first=True)
     brand = F.coalesce(C.blank_to_null(C.clean_brand(scraped, "detail")), listed)
+    named = F.coalesce(*[C.blank_to_null(c) for c in ("title", "productTitle") if c in raw.columns])
     rows = raw.select(
-        child.alias("asin"), parent.alias("parent_asin"), C.blank_to_null("title").alias("title"),
+        child.alias("asin"), parent.alias("parent_asin"), named.alias("title"),
         F.trim(F.replace(brand, F.lit("‎"), F.lit(""))).alias("brand"),
         *[last_attribute(details, words).alias(name) for name, words in LAST_ATTRIBUTES.items()],
-        C.first_image("mainImage", "imageUrlList").alias("image_url"),
+        C.first_image("mainImage", "imageUrlList", isinstance(raw.schema["mainImage"].dataType, StringType)).alias("image_url"),
         C.niche_from_path("breadCrumbs", "categoriesExtended").alias("main_niche"),
         F.col(seq).alias("_seq"),
     ).filter(F.col("parent_asin").isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewatlas.functions import columns as C
-from reviewatlas.functions.frames import paged_list, top_k
+from reviewatlas.functions.frames import prefix_lists, top_k
 from reviewatlas.operators import aspects
 from reviewatlas.operators.linkage import parent_lookup
 from reviewatlas.operators.quality import QUEUE_OPEN, keyword_totals
@@ -135,9 +135,19 @@ def catalogue(parents: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def variation_pool(products: DataFrame, page: int = 500) -> DataFrame:
-    """Child ids of a family as comma-joined text, in pages."""
-    return paged_list(products.select("parent_asin", "asin"), "parent_asin", "asin", "variation_pool", page)
+def variation_pool(parents: DataFrame, products: DataFrame) -> DataFrame:
+    """(parent_asin, asin): the child ids of every family of the catalogue, in long form. A parent without products has one row without a child."""
+    return parents.select("parent_asin").join(products.select("parent_asin", "asin"), "parent_asin", "left")
+
+
+def variation_text(products: DataFrame, length: int = 8) -> DataFrame:
+    """Child ids of a family as ordered, comma-joined text, one row per id prefix."""
+    return prefix_lists(products.select("parent_asin", "asin"), "parent_asin", "asin", "variation_pool", length)
+
+
+def catalogue_variations(parents: DataFrame, products: DataFrame) -> DataFrame:
+    """The catalogue with one row per variation: parents, their best rating, and each child id."""
+    return catalogue(parents, products).join(variation_pool(parents, products), "parent_asin")
 
 
 def ordered_catalogue(rows: DataFrame) -> DataFrame:

@@ -49,9 +49,11 @@ def link_reviews(
     skipped; of equal new ids one row is kept.
     """
     known = products.select(F.col("asin").alias("_child"), F.col("parent_asin").alias("_parent"))
-    linked = raw.join(known, F.col("child_asin") == F.col("_child"), "left").withColumn(
+    # rows without a child id meet nothing; keys of their own keep them off one task
+    child = F.coalesce("child_asin", F.concat(F.lit("\x00"), F.coalesce("review_id", F.lit(""))))
+    linked = raw.withColumn("_key", child).join(known, F.col("_key") == F.col("_child"), "left").withColumn(
         "parent_asin", F.coalesce("_parent", "parent_asin")
-    ).drop("_child", "_parent")
+    ).drop("_key", "_child", "_parent")
     # copies go first, inside the map tasks; the anti join reuses their partitioning
     order = [F.col(c).asc_nulls_last() for c in linked.columns if c != "review_id"]
     fresh = unseen_rows(reviews, keep_one(linked, "review_id", order), ["review_id"], long_history)

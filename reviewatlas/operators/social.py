@@ -191,10 +191,11 @@ def affordable(requests: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def relative_spike(posts: DataFrame, factor: float = 3.0) -> DataFrame:
-    """Views against the author's median."""
-    median = exact_median(posts, "author", "views", "median_views")
+    """Views against the author's median. Posts without an author or views, and those of authors without any views, stay and are not viral."""
+    named = posts.filter(F.col("author").isNotNull())
+    median = exact_median(named, "author", "views", "median_views")
     ratio = F.try_divide(F.col("views"), F.col("median_views"))
-    return posts.join(median, "author").withColumn("spike", ratio).withColumn(
+    return posts.join(median, "author", "left").withColumn("spike", ratio).withColumn(
         "is_viral", F.coalesce(ratio >= factor, F.lit(False))
     )
 
@@ -272,10 +273,11 @@ def viral_score(posts: DataFrame, threshold: float = 0.01) -> DataFrame:
     return posts.select("post_id", "author", score.alias("score"), (score > threshold).alias("winning"))
 
 
-def hashtags(posts: DataFrame, min_views: int = 100_000) -> DataFrame:
-    """How often each hashtag occurs in posts seen often enough."""
+def hashtags(posts: DataFrame, min_views: int | None = 100_000) -> DataFrame:
+    """How often each hashtag occurs in posts seen often enough; without a floor in all posts, also those without views."""
     tags = F.explode(F.regexp_extract_all("text", F.lit(r"#(\w+)"), F.lit(1)))
-    seen = posts.filter(F.col("views") > min_views).select(tags.alias("tag"), "views")
+    often = posts if min_views is None else posts.filter(F.col("views") > min_views)
+    seen = often.select(tags.alias("tag"), "views")
     return seen.groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("posts"), F.sum("views").alias("views"))
 
 
@@ -318,14 +320,14 @@ def trend_bridge(tags: DataFrame, mapping: DataFrame, posts: DataFrame) -> DataF
 
     raw = tags.groupBy("parent_asin", F.col("aspect").alias("raw_aspect")).agg(F.count("*").alias("n"))
     named = aspects.resolve_aspects(raw, mapping, "norm").groupBy(norm("raw_aspect").alias("tag"), "aspect").agg(F.sum("n").alias("mentions"))
-    social = hashtags(posts, -1).select("tag", F.col("posts").alias("social_posts"), F.col("views").alias("social_views"))
+    social = hashtags(posts, None).select("tag", F.col("posts").alias("social_posts"), F.col("views").alias("social_views"))
     return named.join(social, "tag")
 
 
 def volume_by_month(posts: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Posts and reviews per calendar month of the year, side by side."""
-    social = posts.groupBy(F.month("created_at").alias("month")).agg(F.count("*").alias("posts"))
-    sold = reviews.groupBy(F.month("review_date").alias("month")).agg(F.count("*").alias("reviews"))
+    """Posts and reviews per month, side by side. ``month`` is its first day: equal months of different years are different periods."""
+    social = posts.groupBy(F.trunc("created_at", "month").alias("month")).agg(F.count("*").alias("posts"))
+    sold = reviews.groupBy(F.trunc("review_date", "month").alias("month")).agg(F.count("*").alias("reviews"))
     return social.join(sold, "month", "full").select(
         "month", F.coalesce("posts", F.lit(0)).alias("posts"), F.coalesce("reviews", F.lit(0)).alias("reviews")
     )

@@ -62,9 +62,9 @@ def sample_kpis(reviews: DataFrame) -> DataFrame:
 
 def live_kpis(parents: DataFrame, products: DataFrame) -> DataFrame:
     """KPIs without pre-computed statistics. The negative share is the plain sum of the
-    document's 1 and 2 star values and counts as 0 when either is missing."""
+    document's 1 and 2 star values, each rounded, and counts as 0 when either is missing or beyond the integers."""
     one, two = (
-        F.get_json_object("rating_breakdown", f"$.{s}").try_cast("double").cast("int") for s in (1, 2)
+        F.rint(F.get_json_object("rating_breakdown", f"$.{s}").try_cast("double")).try_cast("int").cast("bigint") for s in (1, 2)
     )
     official = products.select(
         F.col("asin").alias("parent_asin"), "real_total_ratings", "real_average_rating",

@@ -12,13 +12,18 @@ from reviewatlas.plans.registry import query
 
 REVIEW_COLUMNS = [
     "review_id", "parent_asin", "child_asin", "variation_text", "author_name", "rating_score", "review_date",
-    "is_verified", "vine_program", "helpful_count", "mining_status",
+    "is_verified", "vine_program", "helpful_count", "mining_status", "title", "text",
 ]
 
 
+def shown(reviews):
+    """The columns that are compared, long texts by their digest."""
+    return reviews.select(*REVIEW_COLUMNS).withColumn("text", F.md5("text"))
+
+
 @query("clean_reviews", "SELECT * FROM clean_reviews", ["clean_reviews"])
 def _(t):
-    return clean.clean_reviews(raw_reviews(t)).select(*REVIEW_COLUMNS)
+    return shown(clean.clean_reviews(raw_reviews(t)))
 
 
 # first occurrence only, as the cleaner does
@@ -47,16 +52,43 @@ def _(t):
     return out.select("asin", "title", F.col("brand").isNull().alias("bare"), "category")
 
 
-@query("infer_category", "SELECT seq, 'tumbler' AS category FROM rp", ["rp"])
+# four files of a delivery: only two hold titles with a telling word, only one lacks every value of a column
+_FILE = "IF(seq % 9 IN (1, 2), seq % 9, 3 + seq % 2)"
+_FILE_SQL = "CASE WHEN seq % 9 IN (1, 2) THEN seq % 9 ELSE 3 + seq % 2 END"
+
+
+def _delivery(t):
+    """Records of several files; the last file speaks of books."""
+    raw = raw_products(t).withColumn("file", F.expr(_FILE).cast("string"))
+    title = F.when(F.col("file") == "4", F.concat("title", F.lit(" Notebook"))).when(F.col("file") == "2", F.lit("Soft comforter")).otherwise(F.col("title"))
+    return raw.withColumn("title", title)
+
+
+_VOTES = f"""SELECT file, CASE WHEN bool_or(lower(name) LIKE '%book%' OR lower(name) LIKE '%drawing%') THEN 'book'
+      WHEN bool_or(lower(name) LIKE '%tumbler%' OR lower(name) LIKE '%bottle%') THEN 'tumbler' ELSE 'comforter' END AS category
+    FROM (SELECT file, CASE file WHEN 4 THEN title || ' Notebook' WHEN 2 THEN 'Soft comforter' ELSE title END AS name FROM (SELECT *, {_FILE_SQL} AS file FROM rp)) GROUP BY 1"""
+
+
+@query("category_per_file", f"SELECT seq, category FROM (SELECT seq, {_FILE_SQL} AS file FROM rp) JOIN ({_VOTES}) USING (file)", ["rp"])
 def _(t):
-    raw = raw_products(t)
-    return raw.select("seq", clean.infer_category(raw).alias("category"))
+    return clean.with_category(_delivery(t), file="file").select("seq", "category")
+
+
+@query("clean_products_of_many_files", f"""SELECT asin, category FROM (SELECT coalesce(url_id, asin) AS asin, category FROM (SELECT *, {_FILE_SQL} AS file FROM rp) JOIN ({_VOTES}) USING (file))
+    WHERE asin IN (SELECT asin FROM (SELECT coalesce(url_id, asin) AS asin FROM rp) GROUP BY 1 HAVING count(*) = 1)""", ["rp"])
+def _(t):
+    raw = _delivery(t).drop("brand")
+    alone = raw.groupBy(F.coalesce(C.url_id("url"), F.col("asin")).alias("asin")).agg(F.count("*").alias("n")).filter("n = 1").drop("n")
+    return clean.clean_products(raw, file="file").select("asin", "category").join(alone, "asin", "left_semi")
 
 
-@query("default_if_all_null", "SELECT seq, 'fallback' AS filled, parentAsin AS kept FROM rp", ["rp"])
+@query("default_if_all_null", f"""SELECT seq, CASE WHEN file IN (1, 4) THEN 'fallback' WHEN seq % 2 = 0 THEN parentAsin END AS filled, parentAsin AS kept
+    FROM (SELECT seq, parentAsin, {_FILE_SQL} AS file FROM rp)""", ["rp"])
 def _(t):
-    raw = raw_products(t).select("seq", F.lit(None).cast("string").alias("filled"), F.col("parentAsin").alias("kept"))
-    return clean.default_if_all_null(clean.default_if_all_null(raw, "filled", F.lit("fallback")), "kept", F.lit("x"))
+    raw = raw_products(t).withColumn("file", F.expr(_FILE)).withColumn("filled", F.when((F.col("file") != 1) & (F.col("seq") % 2 == 0), F.col("parentAsin")))
+    rows = raw.select("seq", "file", "filled", F.col("parentAsin").alias("kept"))
+    out = clean.default_if_all_null(clean.default_if_all_null(rows, "filled", F.lit("fallback"), "file"), "kept", F.lit("x"), "file")
+    return out.drop("file")
 
 
 _FAMILY = """
@@ -111,6 +143,16 @@ def _(t):
     return clean.clean_details(raw_products(t), "book", "seq")
 
 
+@query("clean_details_other_names", f"""
+    SELECT seq AS _seq, CASE WHEN seq % 2 = 0 THEN 'Kids book' ELSE nullif(title, '') END AS title, CASE WHEN mainImageUrl IS NOT NULL THEN mainImageUrl ELSE imageUrlList[1] END AS image_url,
+      CASE WHEN coalesce(CASE WHEN seq % 4 = 1 THEN '' ELSE aud END, '') = '' AND (seq % 2 = 0 OR lower(title) LIKE '%kids%') THEN 'Kids' WHEN seq % 4 = 1 THEN '' ELSE aud END AS target_audience
+    FROM rp WHERE coalesce(url_id, parentAsin, body) IS NOT NULL""", ["rp"])
+def _(t):
+    even = F.col("seq") % 2 == 0
+    raw = raw_products(t).withColumns({"title": F.when(even, "").otherwise(F.col("title")), "productTitle": F.when(even, "Kids book"), "mainImage": F.col("mainImage.imageUrl")})
+    return clean.clean_details(raw, "book", "seq").select("_seq", "title", "image_url", "target_audience")
+
+
 @query("clean_backfill", """
     SELECT asin, asin AS parent_asin, coalesce(title, '') AS title,
       CASE WHEN contains(coalesce(manufacturer, 'N/A'), 'N/A') THEN 'N/A' ELSE trim(split_part(replace(manufacturer, 'by ', ''), '(', 1)) END AS brand,

@@ -87,9 +87,29 @@ def _(t):
     return evidence.ordered_catalogue(evidence.catalogue(t.product_parents, t.products))
 
 
-@query("variation_pool", "SELECT parent_asin, 0 AS page, string_agg(asin, ',' ORDER BY asin) AS variation_pool FROM products GROUP BY 1", ["products"])
+# most variations move to parents that the catalogue lacks, and so every second family has none
+_MOVED = "CASE WHEN asin LIKE '%0' OR asin LIKE '%1' THEN parent_asin ELSE 'X' || parent_asin END"
+
+
+@query("variation_pool", f"SELECT pp.parent_asin, p.asin FROM product_parents pp LEFT JOIN (SELECT asin, {_MOVED} AS family FROM products) p ON p.family = pp.parent_asin", ["product_parents", "products"])
+def _(t):
+    return evidence.variation_pool(t.product_parents, t.products.withColumn("parent_asin", F.expr(_MOVED)))
+
+
+@query("variation_text", "SELECT parent_asin, substr(asin, 1, 8) AS prefix, string_agg(asin, ',' ORDER BY asin) AS variation_pool FROM products GROUP BY 1, 2", ["products"])
+def _(t):
+    return evidence.variation_text(t.products)
+
+
+# one family of all products: far more ids than any page
+@query("variation_text_of_one_family", "SELECT 'A' AS parent_asin, substr(asin, 1, 9) AS prefix, string_agg(asin, ',' ORDER BY asin) AS variation_pool FROM products GROUP BY 2", ["products"])
+def _(t):
+    return evidence.variation_text(t.products.withColumn("parent_asin", F.lit("A")), 9)
+
+
+@query("catalogue_variations", f"SELECT c.*, p.asin FROM ({_CATALOGUE}) c LEFT JOIN products p ON p.parent_asin = c.parent_asin", ["product_parents", "products"])
 def _(t):
-    return evidence.variation_pool(t.products)
+    return evidence.catalogue_variations(t.product_parents, t.products)
 
 
 @query("filter_catalogue", f"SELECT * FROM ({_CATALOGUE} WHERE category = 'PROMO' AND contains(niche, 'gear'))", ["product_parents", "products"])
@@ -111,12 +131,12 @@ def _(t):
 _FAMILY = ["size_capacity", "target_audience", "product_line", "variation_count", "real_average_rating", "real_total_ratings", "rating_breakdown"]
 
 
-@query("family_detail", f"""SELECT * FROM (WITH c AS (SELECT * FROM products WHERE category <> 'SMALL')
+@query("family_detail", f"""SELECT * FROM (WITH c AS (SELECT * REPLACE (CASE WHEN category = 'SMALL' THEN 'X' || parent_asin ELSE parent_asin END AS parent_asin) FROM products)
     SELECT asin, parent_asin, title, brand, image_url, category, main_niche, material, {', '.join(_FAMILY)} FROM c
     UNION ALL SELECT parent_asin, parent_asin, title, brand, image_url, category, niche, NULL, {', '.join(['NULL'] * len(_FAMILY))} FROM product_parents
     WHERE parent_asin NOT IN (SELECT parent_asin FROM c))""", ["products", "product_parents"])
 def _(t):
-    return evidence.family_detail(t.products.filter("category <> 'SMALL'"), t.product_parents)
+    return evidence.family_detail(t.products.withColumn("parent_asin", F.expr("IF(category = 'SMALL', 'X', '') || parent_asin")), t.product_parents)
 
 
 @query("first_valid", "SELECT parent_asin, " + ", ".join(f"arg_min({c}, asin) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("brand", "image_url", "target_audience", "size_capacity"))
@@ -157,8 +177,8 @@ def _(t):
 _TRIAGE = """SELECT * FROM (WITH req AS (SELECT request_id, CASE WHEN CAST(request_id AS BIGINT) % 9 = 0 THEN 'Z' || substr(asin, 2) ELSE asin END AS asin, coalesce(note, '') AS note, CAST(request_id AS BIGINT) % 4 = 0 AS force FROM queue),
     l AS (SELECT asin, parent_asin FROM products UNION ALL SELECT DISTINCT parent_asin, parent_asin FROM products WHERE parent_asin NOT IN (SELECT asin FROM products)),
     m AS (SELECT req.*, l.parent_asin, coalesce(l.parent_asin, req.asin) AS final_asin FROM req LEFT JOIN l ON l.asin = req.asin),
-    rv AS (SELECT parent_asin AS key, count(*) AS n, max(review_date) AS last_date FROM reviews WHERE rating_score = 5 AND helpful_count = 7 GROUP BY 1),
-    w AS (SELECT DISTINCT asin AS key FROM queue WHERE status IN ('PENDING_APPROVAL', 'READY_TO_SCRAPE', 'IN_PROGRESS') AND requested_by % 2 = 0)
+    rv AS (SELECT parent_asin AS key, count(*) AS n, max(review_date) AS last_date FROM (SELECT * REPLACE (CASE WHEN rating_score = 5 AND helpful_count = 7 THEN parent_asin ELSE 'Y' || parent_asin END AS parent_asin) FROM reviews) GROUP BY 1),
+    w AS (SELECT DISTINCT CASE WHEN requested_by % 2 = 0 THEN '' ELSE 'Y' END || asin AS key FROM queue WHERE status IN ('PENDING_APPROVAL', 'READY_TO_SCRAPE', 'IN_PROGRESS'))
     SELECT request_id, asin, final_asin,
       CASE WHEN n > 0 AND NOT force THEN 'HAS_DATA' WHEN w.key IS NOT NULL THEN 'ALREADY_QUEUED' WHEN parent_asin IS NULL THEN 'QUEUED_UNKNOWN' WHEN final_asin <> asin THEN 'QUEUED_AS_PARENT' ELSE 'QUEUED' END AS decision,
       CASE WHEN parent_asin IS NULL THEN '[Unknown ASIN] Not in Product DB. Admin verify Parent.' WHEN final_asin <> asin THEN '[Auto-Map] Child ' || asin || ' -> Parent ' || final_asin ELSE '' END
@@ -177,8 +197,9 @@ def triaged(t):
     number = F.col("request_id").cast("bigint")
     odd = F.when(number % 9 == 0, F.concat(F.lit("Z"), F.substring("asin", 2, 9))).otherwise(F.col("asin"))
     requests = t.scrape_queue.select("request_id", odd.alias("asin"), F.coalesce("note", F.lit("")).alias("note"), (number % 4 == 0).alias("force"))
-    scarce = t.reviews.filter("rating_score = 5 AND helpful_count = 7")
-    waiting = t.scrape_queue.filter("requested_by % 2 = 0")
+    # most reviews and waiting requests belong to other products
+    scarce = t.reviews.withColumn("parent_asin", F.expr("IF(rating_score = 5 AND helpful_count = 7, '', 'Y') || parent_asin"))
+    waiting = t.scrape_queue.withColumn("asin", F.expr("IF(requested_by % 2 = 0, '', 'Y') || asin"))
     return evidence.triage_requests(requests, t.products, scarce, waiting), t.scrape_queue
 
 

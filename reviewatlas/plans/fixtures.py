@@ -53,7 +53,7 @@ class Tables:
         from reviewatlas.operators.linkage import niche_rollup
 
         own = self.products.filter("asin = parent_asin").filter(
-            F.substring("parent_asin", 2, 9).cast("bigint") % 85 != 0
+            F.substring("parent_asin", 2, 9).try_cast("bigint") % 85 != 0
         )
         return own.select("parent_asin", "category", "title", "brand", "image_url").join(
             niche_rollup(self.products), "parent_asin", "left"
@@ -88,10 +88,10 @@ class Tables:
         return self._reviews.drop("_flag", "_pk", "_sk", "_price", "_ok", "_ln")
 
     def _with_text(self, df: DataFrame, column: str, text: Column) -> DataFrame:
-        """Attach a document to every review; short and missing texts are planted."""
+        """Attach a whole document to every review; a few short and missing texts are planted."""
         docs = self.raw("documents").select("doc_id", text.alias("_text"))
         total = self.raw("documents").agg(F.count("*")).scalar()
-        body = F.when(F.col("_ln") == 7, F.lit(None)).when(F.col("_ln") == 6, F.col("_flag")).otherwise(F.col("_text"))
+        body = F.when((F.col("_ln") == 1) & (F.col("_ok") % 53 == 0), F.lit(None)).when((F.col("_ln") == 2) & (F.col("_ok") % 59 == 0), F.col("_flag")).otherwise(F.col("_text"))
         return df.join(docs, F.col("_ok") % total == F.col("doc_id"), "left").withColumn(column, body).drop("doc_id", "_text")
 
     @cached_property
@@ -120,10 +120,8 @@ class Tables:
 
     @cached_property
     def review_tags_quoted(self) -> DataFrame:
-        from reviewatlas.functions.columns import quote
-
-        df = self._with_text(self._reviews, "quote", quote("text"))
-        return self._tags(df.withColumn("quote", quote("quote")), ["quote"])
+        df = self._with_text(self._reviews, "quote", F.col("text"))
+        return self._tags(df, ["quote"])
 
     @cached_property
     def aspect_mapping(self) -> DataFrame:
@@ -174,6 +172,8 @@ class Tables:
 
 # --- the same mapping in SQL --------------------------------------------------------------
 
+REVIEW_TEXT = "CASE WHEN _ln = 1 AND _ok % 53 = 0 THEN NULL WHEN _ln = 2 AND _ok % 59 = 0 THEN _flag ELSE d.text END"
+
 CTES: dict[str, tuple[list[str], str]] = {
     "products": ([], """
         SELECT 'A' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS asin,
@@ -215,7 +215,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT * FROM reviews_raw QUALIFY row_number() OVER
           (PARTITION BY review_id ORDER BY review_date, _pk, _sk, _price) = 1"""),
     "reviews_text": (["reviews"], """
-        SELECT r.*, CASE WHEN _ln = 7 THEN NULL WHEN _ln = 6 THEN _flag ELSE d.text END AS text
+        SELECT r.*, """ + REVIEW_TEXT + """ AS text
         FROM reviews r LEFT JOIN documents d ON d.doc_id = r._ok % (SELECT count(*) FROM documents)"""),
     "review_tags": (["reviews"], """
         SELECT review_id || '#1' AS tag_id, review_id, parent_asin, 'Quality' AS category,
@@ -229,7 +229,7 @@ CTES: dict[str, tuple[list[str], str]] = {
           CAST(review_date AS TIMESTAMP)
         FROM reviews JOIN part ON p_partkey = _pk WHERE _ln % 2 = 0"""),
     "review_tags_quoted": (["review_tags", "reviews_text"], """
-        SELECT t.*, substr(CASE WHEN text IS NULL OR text = '' THEN 'N/A' ELSE text END, 1, 100) AS quote
+        SELECT t.*, text AS quote
         FROM review_tags t JOIN reviews_text r USING (review_id)"""),
     "aspect_mapping": ([], """
         SELECT DISTINCT split_part(p_name, ' ', 2) AS raw_aspect,

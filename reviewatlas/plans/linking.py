@@ -8,7 +8,7 @@ from reviewatlas.operators import linkage, upsert as up
 from reviewatlas.operators.clean import clean_reviews
 from reviewatlas.plans.raws import raw_products, raw_reviews
 from reviewatlas.plans.registry import query
-from reviewatlas.plans.cleaning import CTE_DETAIL, REVIEW_COLUMNS, _BRAND
+from reviewatlas.plans.cleaning import CTE_DETAIL, REVIEW_COLUMNS, _BRAND, shown
 
 # --- merges: the catalogue against a derived delivery ---------------------------------------
 
@@ -71,12 +71,14 @@ def _(t):
 
 
 @query("insert_unseen_reviews", """
-    SELECT review_id, rating_score, review_date FROM reviews WHERE helpful_count > 3
-    UNION ALL SELECT * FROM (SELECT review_id, rating_score, review_date FROM reviews_raw WHERE review_id NOT IN (SELECT review_id FROM reviews WHERE helpful_count > 3)
-      QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY rating_score, review_date) = 1)""", ["reviews"])
+    SELECT * FROM (WITH s AS (SELECT CASE WHEN helpful_count > 3 THEN '' ELSE 'old' END || review_id AS review_id, rating_score, review_date FROM reviews)
+    SELECT * FROM s
+    UNION ALL SELECT * FROM (SELECT review_id, rating_score, review_date FROM reviews_raw WHERE review_id NOT IN (SELECT review_id FROM s)
+      QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY rating_score, review_date) = 1))""", ["reviews"])
 def _(t):
     cols = ["review_id", "rating_score", "review_date"]
-    return up.insert_missing(t.reviews.filter("helpful_count > 3").select(*cols), t.reviews_raw.select(*cols), ["review_id"])
+    stored = t.reviews.withColumn("review_id", F.expr("IF(helpful_count > 3, '', 'old') || review_id")).select(*cols)
+    return up.insert_missing(stored, t.reviews_raw.select(*cols), ["review_id"])
 
 
 @query("replace_children", """
@@ -143,10 +145,10 @@ def _(t):
 @query("advance_queue", """
     SELECT request_id, q.asin, CASE WHEN status = 'IN_PROGRESS' AND p.asin IS NOT NULL THEN CASE WHEN found THEN 'COMPLETED' ELSE 'FAILED' END ELSE status END AS status,
       requested_by, CASE WHEN status = 'IN_PROGRESS' AND p.asin IS NOT NULL THEN coalesce(note, '') || CASE WHEN found THEN ' [Found Parent: ' || parent_asin || ']' ELSE ' [Parent Not Found]' END ELSE note END AS note, created_at
-    FROM queue q LEFT JOIN (SELECT asin, parent_asin, real_total_ratings IS NOT NULL AS found FROM products WHERE category <> 'SMALL') p ON p.asin = q.asin""", ["queue", "products"])
+    FROM queue q LEFT JOIN (SELECT asin, parent_asin, real_total_ratings IS NOT NULL AS found FROM (SELECT * REPLACE (CASE WHEN category = 'SMALL' THEN 'X' || asin ELSE asin END AS asin) FROM products)) p ON p.asin = q.asin""", ["queue", "products"])
 def _(t):
-    outcomes = t.products.filter("category <> 'SMALL'").select(
-        "asin", F.when(F.col("real_total_ratings").isNotNull(), F.col("parent_asin")).alias("parent")
+    outcomes = t.products.select(
+        F.expr("IF(category = 'SMALL', 'X', '') || asin").alias("asin"), F.when(F.col("real_total_ratings").isNotNull(), F.col("parent_asin")).alias("parent")
     )
     return up.advance_queue(t.scrape_queue, outcomes)
 
@@ -176,13 +178,15 @@ def _(t):
     return linkage.flag_multi_niche(t.product_parents, t.products)
 
 
-_STORED = "stored AS (SELECT review_id FROM reviews WHERE helpful_count > 4), known AS (SELECT asin, parent_asin FROM products WHERE category <> 'LARGE')"
+_STORED = """stored AS (SELECT CASE WHEN helpful_count > 4 THEN '' ELSE 'old' END || review_id AS review_id FROM reviews),
+    known AS (SELECT CASE WHEN category = 'LARGE' THEN 'X' ELSE '' END || asin AS asin, parent_asin FROM products)"""
 
 
 def _link(t):
     raw = clean_reviews(raw_reviews(t)).select(*REVIEW_COLUMNS).withColumn("parent_asin", F.concat(F.lit("S"), F.substring("parent_asin", 2, 9)))
-    stored = t.reviews.filter("helpful_count > 4")
-    return linkage.link_reviews(raw, stored, t.products.filter("category <> 'LARGE'"), t.product_parents)
+    # half of the history has other ids, and the large products are unknown under theirs
+    stored = t.reviews.withColumn("review_id", F.expr("IF(helpful_count > 4, '', 'old') || review_id"))
+    return linkage.link_reviews(raw, stored, t.products.withColumn("asin", F.expr("IF(category = 'LARGE', 'X', '') || asin")), t.product_parents)
 
 
 _LINKED = f"""{_STORED}, l AS (SELECT r.* REPLACE (coalesce(k.parent_asin, 'S' || substr(r.parent_asin, 2)) AS parent_asin)
@@ -194,7 +198,7 @@ _LINKED = f"""{_STORED}, l AS (SELECT r.* REPLACE (coalesce(k.parent_asin, 'S' |
        ["clean_reviews", "reviews", "products"])
 def _(t):
     fresh, _ = _link(t)
-    return fresh.select(*REVIEW_COLUMNS)
+    return shown(fresh)
 
 
 @query("link_reviews_parents", f"""SELECT * FROM (WITH {_LINKED} SELECT DISTINCT parent_asin, 'unknown' AS category, 'Recovered Product: ' || parent_asin AS title,

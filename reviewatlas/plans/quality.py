@@ -108,9 +108,9 @@ def _(t):
 
 
 @query("unscraped_parents", """SELECT parent_asin FROM product_parents
-    WHERE parent_asin NOT IN (SELECT parent_asin FROM reviews WHERE review_date < DATE '1995-02-10')""", ["product_parents", "reviews"])
+    WHERE parent_asin NOT IN (SELECT CASE WHEN parent_asin LIKE '%5' THEN 'X' ELSE parent_asin END FROM reviews)""", ["product_parents", "reviews"])
 def _(t):
-    return quality.unscraped_parents(t.product_parents, t.reviews.filter("review_date < DATE'1995-02-10'"))
+    return quality.unscraped_parents(t.product_parents, t.reviews.withColumn("parent_asin", F.expr("IF(parent_asin LIKE '%5', 'X', parent_asin)")))
 
 
 @query("missing_metadata", """SELECT parent_asin FROM (SELECT parent_asin, CASE WHEN image_url IS NOT NULL THEN brand END AS brand FROM product_parents)
@@ -149,13 +149,15 @@ def _(t):
 
 
 _SIDES = """
-    WITH l AS (SELECT DISTINCT review_id FROM reviews WHERE helpful_count <> 1), r AS (SELECT DISTINCT review_id FROM reviews WHERE helpful_count <> 2),
+    WITH l AS (SELECT DISTINCT CASE WHEN helpful_count = 1 THEN 'L' ELSE '' END || review_id AS review_id FROM reviews),
+    r AS (SELECT DISTINCT CASE WHEN helpful_count = 2 THEN 'R' ELSE '' END || review_id AS review_id FROM reviews),
     f AS (SELECT coalesce(l.review_id, r.review_id) AS review_id, l.review_id IS NOT NULL AS il, r.review_id IS NOT NULL AS ir
           FROM l FULL JOIN r ON l.review_id = r.review_id) """
 
 
 def _halves(t):
-    return t.reviews.filter("helpful_count <> 1"), t.reviews.filter("helpful_count <> 2")
+    """Two whole sources; each has ids that the other lacks."""
+    return [t.reviews.withColumn("review_id", F.expr(f"IF(helpful_count = {n}, '{mark}', '') || review_id")) for n, mark in ((1, "L"), (2, "R"))]
 
 
 @query("source_overlap", "SELECT * FROM (" + _SIDES + """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewatlas.plans.fixtures import CTES, Tables
+from reviewatlas.plans.fixtures import CTES, REVIEW_TEXT, Tables
 
 
 def asin(key: F.Column) -> F.Column:
@@ -14,7 +14,7 @@ def asin(key: F.Column) -> F.Column:
 
 def raw_reviews(t: Tables) -> DataFrame:
     """Review records as scraped: everything is text, with planted gaps."""
-    r = t.reviews_raw
+    r = t._with_text(t.reviews_raw, "text", F.col("text"))
     ok = F.col("_ok")
     return r.select(
         F.when(ok % 97 != 0, F.col("review_id")).alias("reviewId"),
@@ -28,24 +28,25 @@ def raw_reviews(t: Tables) -> DataFrame:
         F.when(ok % 7 == 0, "True").when(ok % 7 == 1, "0").alias("vine"),
         F.when(ok % 3 == 0, F.lit(None)).when(ok % 31 == 1, "many").otherwise(F.col("helpful_count").cast("string")).alias("numberOfHelpful"),
         F.array("variation_text").alias("variationList"),
+        F.when(ok % 43 != 0, F.concat(F.lit("Said \""), "variation_text", F.lit("\"\n"))).alias("title"), "text",
     )
 
 
-CTES["raw_reviews"] = (["reviews_raw"], """
+CTES["raw_reviews"] = (["reviews_raw"], f"""
     SELECT CASE WHEN _ok % 97 <> 0 THEN review_id END AS reviewId, parent_asin AS asin, child_asin AS variationId, author_name AS userName,
       CASE WHEN _ok % 41 <> 0 THEN printf('%.1f out of 5 stars', rating_score) END AS rating,
       CASE WHEN _ok % 89 = 0 THEN 'no date' ELSE 'Reviewed in the United States on ' || strftime(review_date, '%B %-d, %Y') END AS "date",
       CASE WHEN _ok % 5 = 0 THEN NULL WHEN is_verified THEN 'TRUE' ELSE 'false' END AS verified,
       CASE WHEN _ok % 7 = 0 THEN 'True' WHEN _ok % 7 = 1 THEN '0' END AS vine,
       CASE WHEN _ok % 3 = 0 THEN NULL WHEN _ok % 31 = 1 THEN 'many' ELSE CAST(helpful_count AS VARCHAR) END AS numberOfHelpful,
-      variation_text
-    FROM reviews_raw""")
+      variation_text, CASE WHEN _ok % 43 <> 0 THEN 'Said "' || variation_text || '"' || chr(10) END AS title, {REVIEW_TEXT} AS text
+    FROM reviews_raw LEFT JOIN documents d ON d.doc_id = _ok % (SELECT count(*) FROM documents)""")
 CTES["clean_reviews"] = (["raw_reviews"], r"""
     SELECT * FROM (SELECT reviewId AS review_id, asin AS parent_asin, variationId AS child_asin, variation_text, userName AS author_name,
         coalesce(TRY_CAST(regexp_extract(rating, '(\d+\.?\d*)', 1) AS DOUBLE), 0) AS rating_score,
         CAST(try_strptime(trim(regexp_replace("date", '^.*on ', '')), '%B %d, %Y') AS DATE) AS review_date,
         coalesce(lower(verified) = 'true', false) AS is_verified, coalesce(lower(vine) = 'true', false) AS vine_program,
-        TRY_CAST(coalesce(numberOfHelpful, '0') AS INTEGER) AS helpful_count, 'PENDING' AS mining_status FROM raw_reviews)
+        TRY_CAST(coalesce(numberOfHelpful, '0') AS INTEGER) AS helpful_count, 'PENDING' AS mining_status, title, md5(text) AS text FROM raw_reviews)
     WHERE review_id IS NOT NULL AND review_date IS NOT NULL""")
 
 _BRANDS = ["Visit the {} Store", "Brand: {}", "by {} (Author)", "{}‎", "{} Store by Co"]

@@ -133,10 +133,22 @@ def _(t):
     return social.affordable(t.charges, positions).select("log_id", "accepted")
 
 
-@query("relative_spike", """SELECT post_id, round(views / median_views, 6) AS spike, coalesce(views / median_views >= 3, false) AS is_viral FROM posts
-    JOIN (SELECT author, median(views)::DOUBLE AS median_views FROM posts GROUP BY 1) USING (author)""", ["posts"])
+# posts without an author, posts without views, and an author without any views
+_GAPS = """SELECT * REPLACE (CASE WHEN CAST(post_id AS BIGINT) % 13 = 0 THEN NULL ELSE author END AS author,
+      CASE WHEN CAST(post_id AS BIGINT) % 11 = 0 OR author LIKE '%7' THEN NULL ELSE views END AS views) FROM posts"""
+
+
+def _gaps(t):
+    number = F.col("post_id").cast("bigint")
+    return t.social_posts.withColumns({
+        "author": F.when(number % 13 != 0, F.col("author")), "views": F.when((number % 11 != 0) & ~F.endswith("author", F.lit("7")), F.col("views")),
+    })
+
+
+@query("relative_spike", f"""SELECT post_id, round(views / median_views, 6) AS spike, coalesce(views / median_views >= 3, false) AS is_viral FROM ({_GAPS}) p
+    LEFT JOIN (SELECT author AS a, median(views)::DOUBLE AS median_views FROM ({_GAPS}) GROUP BY 1) m ON p.author = m.a""", ["posts"])
 def _(t):
-    return social.relative_spike(t.social_posts).select("post_id", F.round("spike", 6).alias("spike"), "is_viral")
+    return social.relative_spike(_gaps(t)).select("post_id", F.round("spike", 6).alias("spike"), "is_viral")
 
 
 @query("posting_rhythm", """SELECT author, posts, round(h, 6) AS avg_gap_hours, CASE WHEN h < 24 THEN 'burst' WHEN h BETWEEN 24 AND 72 THEN 'machine' WHEN h > 168 THEN 'sniper' ELSE 'other' END AS rhythm
@@ -243,26 +255,33 @@ def _(t):
 @query("trend_bridge", """SELECT n.tag, n.aspect, n.mentions, s.posts AS social_posts, s.views AS social_views FROM
     (SELECT lower(trim(raw)) AS tag, aspect, count(*) AS mentions FROM tags_norm GROUP BY 1, 2) n
     JOIN (SELECT lower(tag) AS tag, count(*) AS posts, CAST(sum(views) AS BIGINT) AS views FROM (SELECT unnest(regexp_extract_all(text, '#(\\w+)', 1)) AS tag, views
-          FROM (SELECT views, text || ' #' || split_part(p_name, ' ', 2) AS text FROM posts JOIN part ON p_partkey = CAST(post_id AS BIGINT) % (SELECT count(*) FROM part))) GROUP BY 1) s ON s.tag = n.tag""", ["tags_norm", "posts"])
+          FROM (SELECT CASE WHEN CAST(post_id AS BIGINT) % 3 <> 0 THEN views END AS views, text || ' #' || split_part(p_name, ' ', 2) AS text FROM posts JOIN part ON p_partkey = CAST(post_id AS BIGINT) % (SELECT count(*) FROM part))) GROUP BY 1) s ON s.tag = n.tag""", ["tags_norm", "posts"])
 def _(t):
     parts = t.raw("part").agg(F.count("*")).scalar()
     names = t.raw("part").select(F.col("p_partkey").alias("_p"), F.split("p_name", " ")[1].alias("_w"))
     posts = t.social_posts.join(names, F.col("post_id").cast("bigint") % parts == F.col("_p")).withColumn("text", F.concat("text", F.lit(" #"), "_w"))
+    posts = posts.withColumn("views", F.when(F.col("post_id").cast("bigint") % 3 != 0, F.col("views")))
     return social.trend_bridge(t.review_tags, t.aspect_mapping, posts)
 
 
+def _recent(t):
+    """Reviews moved to the years of the posts."""
+    return t.reviews.withColumn("review_date", F.add_months("review_date", 12 * 28))
+
+
 _MONTHS = """SELECT coalesce(s.month, r.month) AS month, coalesce(posts, 0) AS posts, coalesce(reviews, 0) AS reviews
-    FROM (SELECT month(created_at) AS month, count(*) AS posts FROM posts GROUP BY 1) s FULL JOIN (SELECT month(review_date) AS month, count(*) AS reviews FROM reviews GROUP BY 1) r ON r.month = s.month"""
+    FROM (SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, count(*) AS posts FROM posts GROUP BY 1) s
+    FULL JOIN (SELECT CAST(date_trunc('month', review_date + INTERVAL 28 YEAR) AS DATE) AS month, count(*) AS reviews FROM reviews GROUP BY 1) r ON r.month = s.month"""
 
 
 @query("volume_by_month", _MONTHS, ["posts", "reviews"])
 def _(t):
-    return social.volume_by_month(t.social_posts, t.reviews)
+    return social.volume_by_month(t.social_posts, _recent(t))
 
 
 @query("volume_correlation", f"SELECT round(corr(posts, reviews), 6) AS correlation, count(*) AS periods FROM ({_MONTHS})", ["posts", "reviews"])
 def _(t):
-    out = social.volume_correlation(social.volume_by_month(t.social_posts, t.reviews), "posts", "reviews")
+    out = social.volume_correlation(social.volume_by_month(t.social_posts, _recent(t)), "posts", "reviews")
     return out.withColumn("correlation", F.round("correlation", 6))
 
 

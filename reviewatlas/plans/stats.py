@@ -45,6 +45,18 @@ def _(t):
     return k
 
 
+# star values with fractions, and some beyond the integers
+_FRACTIONS = """'{"1": ' || CAST(CAST(substr(asin, 2) AS BIGINT) % 7 AS STRING) || '.6, "2": ' || CASE WHEN CAST(substr(asin, 2) AS BIGINT) % 10 = 5 THEN '1e12' ELSE '2.7' END || '}'"""
+
+
+@query("live_kpis_of_fractions", f"""
+    SELECT pp.parent_asin, CASE WHEN p.asin IS NULL OR CAST(substr(p.asin, 2) AS BIGINT) % 10 = 5 THEN 0 ELSE 1 + CAST(substr(p.asin, 2) AS BIGINT) % 7 + 3 END AS negative_pct
+    FROM product_parents pp LEFT JOIN products p ON p.asin = pp.parent_asin""", ["product_parents", "products"])
+def _(t):
+    products = t.products.withColumn("rating_breakdown", F.expr(_FRACTIONS))
+    return stats.live_kpis(t.product_parents, products).select("parent_asin", "negative_pct")
+
+
 @query("live_kpis", """
     SELECT pp.parent_asin, CAST(coalesce(real_total_ratings, 0) AS BIGINT) AS total_reviews,
       coalesce(real_average_rating, 0) AS avg_rating, CAST(coalesce(variation_count, 0) AS BIGINT) AS total_variations,

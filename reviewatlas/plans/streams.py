@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewatlas.operators.clean import clean_reviews
-from reviewatlas.plans.cleaning import REVIEW_COLUMNS
+from reviewatlas.plans.cleaning import REVIEW_COLUMNS, shown
 from reviewatlas.plans.linking import _LINKED
 from reviewatlas.plans.raws import raw_reviews
 from reviewatlas.plans.registry import query
@@ -56,7 +56,7 @@ def _ingest(t):
     raw = raw_reviews(t).withColumn("asin", F.concat(F.lit("S"), F.substring("asin", 2, 9)))
     writers.write_ndjson(raw, f"{base}/raw")
     stream = jobs.read_files(t.spark, f"{base}/raw", "json", raw.schema, "*.json")
-    known = t.products.filter("category <> 'LARGE'")
+    known = t.products.withColumn("asin", F.expr("IF(category = 'LARGE', 'X', '') || asin"))
     _done(jobs.stream_ingest(stream, known, t.product_parents, f"{base}/reviews", f"{base}/parents", f"{base}/check"))
     return base
 
@@ -67,7 +67,7 @@ _EMPTY = _LINKED.replace("helpful_count > 4", "false")
 @query("stream_ingest", f"""SELECT * FROM (WITH {_EMPTY} SELECT * FROM l
     QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY {', '.join(c + ' NULLS LAST' for c in REVIEW_COLUMNS[1:])}) = 1)""", ["clean_reviews", "reviews", "products"])
 def _(t):
-    return t.spark.read.parquet(f"{_ingest(t)}/reviews").select(*REVIEW_COLUMNS)
+    return shown(t.spark.read.parquet(f"{_ingest(t)}/reviews"))
 
 
 @query("stream_ingest_parents", f"""SELECT * FROM (WITH {_EMPTY} SELECT DISTINCT parent_asin, 'unknown' AS category, 'Recovered Product: ' || parent_asin AS title FROM l
@@ -96,4 +96,4 @@ def _(t):
     stream = clean_reviews(jobs.read_files(t.spark, f"{base}/raw", "json", raw.schema, "*.json")).select(*REVIEW_COLUMNS)
     sink = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check")
     _done(sink.trigger(availableNow=True).start())
-    return t.spark.read.parquet(f"{base}/out")
+    return shown(t.spark.read.parquet(f"{base}/out"))

@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from reviewatlas.operators import clean, quality, stats, tags
 from reviewatlas.operators.upsert import upsert
-from reviewatlas.plans.cleaning import REVIEW_COLUMNS
+from reviewatlas.plans.cleaning import shown
 from reviewatlas.plans.raws import raw_products, raw_reviews
 from reviewatlas.plans.registry import query
 from reviewatlas.plans.tagging import responses, _FRESH
@@ -20,23 +20,32 @@ def _(t):
     raw, path = raw_reviews(t), scratch_path(t.spark, "reviews")
     writers.write_ndjson(raw, path)
     rows = clean.clean_reviews(readers.read_ndjson(t.spark, path, raw.schema))
-    return rows.filter(F.col("source_file").endswith(".json")).select(*REVIEW_COLUMNS)
+    return shown(rows.filter(F.col("source_file").endswith(".json")))
 
 
 _SHEET = ["asin", "parent_asin", "title", "brand", "real_average_rating", "real_total_ratings"]
+# titles that a careless CSV reader breaks: quotes, commas, line breaks and backslashes
+_AWKWARD = r"""CASE CAST(substr(asin, 2) AS BIGINT) % 5 WHEN 0 THEN '5" pan, "big"' WHEN 1 THEN title || chr(10) || 'second, line'
+    WHEN 2 THEN 'back\slash\"' WHEN 3 THEN '"' ELSE title END"""
 
 
-@query("sheet_products", f"SELECT {', '.join(_SHEET)} FROM products", ["products"])
+def _awkward(t):
+    number = F.substring("asin", 2, 20).cast("bigint") % 5
+    title = F.when(number == 0, '5" pan, "big"').when(number == 1, F.concat("title", F.lit("\nsecond, line"))).when(number == 2, 'back\\slash\\"').when(number == 3, '"')
+    return t.products.withColumn("title", title.otherwise(F.col("title")))
+
+
+@query("sheet_products", f"SELECT asin, parent_asin, {_AWKWARD} AS title, brand, real_average_rating, real_total_ratings FROM products", ["products"])
 def _(t):
-    rows, path = t.products.select(*_SHEET), scratch_path(t.spark, "sheet")
+    rows, path = _awkward(t).select(*_SHEET), scratch_path(t.spark, "sheet")
     writers.write_csv(rows, path)
     return readers.read_sheet(t.spark, path, rows.schema)
 
 
-@query("sheet_as_text", "SELECT asin, title, CAST(real_total_ratings AS VARCHAR) AS real_total_ratings FROM products", ["products"])
+@query("sheet_as_text", f"SELECT asin, {_AWKWARD} AS title, CAST(real_total_ratings AS VARCHAR) AS real_total_ratings FROM products", ["products"])
 def _(t):
     path = scratch_path(t.spark, "sheet")
-    writers.write_csv(t.products.select("asin", "title", "real_total_ratings"), path)
+    writers.write_csv(_awkward(t).select("asin", "title", "real_total_ratings"), path)
     return readers.read_sheet_as_text(t.spark, path)
 
 
@@ -66,30 +75,38 @@ def _(t):
     return _dump(t)[1].groupBy("line").agg(F.count("*").alias("lines"))
 
 
-def _foldered(t):
-    """Products as files, one folder per category."""
+def _foldered(t, parts=()):
+    """Products as files of equal names, one folder per category; a second file in each holds their ids alone."""
     path = scratch_path(t.spark, "files")
-    for category in ("PROMO", "SMALL"):
-        writers.write_csv(t.products.filter(F.col("category") == category).select("asin", "category"), f"{path}/{category}")
-    rows = readers.read_matching(t.spark, f"{path}/*", "csv", "asin string, category string", "*.csv", ["part-"])
-    return rows
+    rows = t.products.select("asin", "title", "category", F.col("category").alias("_folder"))
+    rows.repartition("_folder").write.partitionBy("_folder").options(header=True, quote='"', escape='"').csv(path)
+    rows.repartition("_folder").write.partitionBy("_folder").options(header=True, quote='"', escape='"', compression="gzip").mode("append").csv(path)
+    return readers.read_matching(t.spark, path, "csv", "asin string, title string, category string", "*.csv*", parts)
 
 
-@query("files_holding", """SELECT asin, count(*) AS files, CAST(sum(1) AS BIGINT) AS rows FROM products WHERE category IN ('PROMO', 'SMALL')
-    AND asin IN (SELECT a FROM pairs) GROUP BY 1""", ["products", "pairs"])
+# each id lies in a plain and in a compressed file of its category
+@query("files_holding", """SELECT category, asin, count(*) AS files, CAST(count(*) AS BIGINT) AS rows FROM (SELECT category, asin FROM products UNION ALL SELECT category, asin FROM products)
+    WHERE asin IN (SELECT a FROM pairs) GROUP BY 1, 2""", ["products", "pairs"])
 def _(t):
     found = readers.files_holding(_foldered(t), t.pairs.select(F.col("a").alias("asin")), "asin")
-    return found.groupBy("asin").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
+    category = F.regexp_extract("file", "_folder=([^/]+)/", 1)
+    return found.groupBy(category.alias("category"), "asin").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
 
 
-@query("files_by_row_count", "SELECT count(*) AS rows FROM products WHERE category = 'PROMO'", ["products"])
+# the name predicate leaves the plain files out
+@query("files_holding_by_name", "SELECT category, asin FROM products WHERE asin IN (SELECT a FROM pairs)", ["products", "pairs"])
 def _(t):
-    path = scratch_path(t.spark, "files")
-    promo = t.products.filter("category = 'PROMO'").select("asin", "category")
-    writers.write_csv(promo, f"{path}/PROMO")
-    rows = readers.read_matching(t.spark, f"{path}/*", "csv", "asin string, category string")
-    # every file is asked for, so the counts add up to the table
-    return rows.groupBy("file_name").agg(F.count("*").alias("rows")).agg(F.sum("rows").alias("rows"))
+    found = readers.files_holding(_foldered(t, [".gz"]), t.pairs.select(F.col("a").alias("asin")), "asin")
+    return found.select(F.regexp_extract("file", "_folder=([^/]+)/", 1).alias("category"), "asin")
+
+
+# the files whose row counts are those of the two alphabetically first categories
+@query("files_by_row_count", """SELECT * FROM (WITH c AS (SELECT category, count(*) AS rows FROM products GROUP BY 1)
+    SELECT category, 2 AS files, rows FROM c WHERE rows IN (SELECT rows FROM c ORDER BY category LIMIT 2))""", ["products"])
+def _(t):
+    wanted = [r.rows for r in t.products.groupBy("category").agg(F.count("*").alias("rows")).orderBy("category").limit(2).collect()]
+    found = readers.files_by_row_count(_foldered(t), wanted)
+    return found.groupBy(F.regexp_extract("file", "_folder=([^/]+)/", 1).alias("category"), "rows").agg(F.count("*").cast("int").alias("files"))
 
 
 @query("sql_with_parameters", "SELECT category, count(*) AS cnt FROM products WHERE real_total_ratings >= 500 GROUP BY 1", ["products"])
@@ -106,7 +123,7 @@ def _(t):
 
 
 @query("request_lines", """SELECT * FROM (WITH w AS (SELECT review_id, text FROM reviews_text WHERE mining_status = 'PENDING' AND length(trim(text)) > 10),
-    b AS (SELECT *, CAST('0x' || substr(md5(review_id), 1, 8) AS BIGINT) % greatest(CAST(ceil((SELECT count(*) FROM w) / 10000.0) AS BIGINT), 1) AS bucket FROM w),
+    b AS (SELECT *, CAST('0x' || substr(md5(review_id), 1, 8) AS BIGINT) % 4096 AS bucket FROM w),
     p AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY review_id) - 1) // 200 AS batch FROM b)
     SELECT md5(string_agg('ID: ' || review_id || chr(10) || 'Text: ' || replace(replace(text, '"', ''''), chr(10), ' ') || chr(10) || '---' || chr(10), '' ORDER BY review_id)) AS body, 'm1' AS model
     FROM p GROUP BY bucket, batch)""", ["reviews_text"])
@@ -129,11 +146,11 @@ def _(t):
     return both.groupBy("platform", "post_id", "views", "likes").agg(F.count("*").cast("int").alias("copies"))
 
 
-@query("published_snapshots", "SELECT asin, title, 2 AS version FROM products WHERE category <> 'SMALL'", ["products"])
+@query("published_snapshots", "SELECT asin, CASE WHEN category <> 'SMALL' THEN title END AS title, 2 AS version FROM products", ["products"])
 def _(t):
     base = scratch_path(t.spark, "published")
     writers.publish(t.products.select("asin", "title"), base)
-    version = writers.publish(t.products.filter("category <> 'SMALL'").select("asin", "title"), base)
+    version = writers.publish(t.products.select("asin", F.when(F.col("category") != "SMALL", F.col("title")).alias("title")), base)
     return writers.current(t.spark, base).withColumn("version", F.lit(version))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from reviewatlas.operators.clean import valid_scrapes
 
 CORRUPT = "_corrupt_record"
+#: How the library's CSV files are written: a quote inside a value is doubled, values may hold line breaks, backslashes are plain.
+CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -25,18 +27,18 @@ def read_json_arrays(spark: SparkSession, path: str, schema: StructType | str) -
 
 def read_sheet(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A spreadsheet exported as CSV with a header."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    return spark.read.schema(schema).options(**CSV).option("enforceSchema", False).csv(path)
 
 
 def read_sheet_as_text(spark: SparkSession, path: str) -> DataFrame:
     """The same with every column as text; only the header line is looked at."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return spark.read.options(**CSV).option("inferSchema", False).csv(path)
 
 
 def read_feed(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
     """A feed CSV: columns named as ids stay text whatever they look like."""
     fields = ", ".join(f"`{n}` {'string' if n == 'id' or n.endswith('_id') else t}" for n, t in columns.items())
-    return spark.read.schema(fields).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.schema(fields).options(**CSV).csv(path)
 
 
 def read_scrapes(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
@@ -55,9 +57,10 @@ def read_scrapes(spark: SparkSession, path: str, schema: StructType) -> tuple[Da
 def read_matching(
     spark: SparkSession, path: str, fmt: str, schema: StructType | str, glob: str = "*", name_parts: Sequence[str] = ()
 ) -> DataFrame:
-    """All files of a folder whose name fits the glob and holds one of the parts."""
-    df = spark.read.format(fmt).schema(schema).option("pathGlobFilter", glob).option("header", True).load(path)
-    df = df.select("*", F.col("_metadata.file_name").alias("file_name"))
+    """All files of a folder whose name fits the glob and holds one of the parts, with the path (``file``) and name of each row's file."""
+    options = CSV if fmt == "csv" else {}
+    df = spark.read.format(fmt).schema(schema).option("pathGlobFilter", glob).options(**options).load(path)
+    df = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"))
     if not name_parts:
         return df
     hit = F.lit(False)
@@ -66,12 +69,12 @@ def read_matching(
     return df.filter(hit)
 
 
-def files_holding(rows: DataFrame, targets: DataFrame, key: str, file: str = "file_name") -> DataFrame:
+def files_holding(rows: DataFrame, targets: DataFrame, key: str, file: str = "file") -> DataFrame:
     """(file, id, rows) for every target id a file holds."""
     return rows.join(targets.select(key).distinct(), key, "left_semi").groupBy(file, key).agg(F.count("*").alias("rows"))
 
 
-def files_by_row_count(rows: DataFrame, counts: Sequence[int], file: str = "file_name") -> DataFrame:
+def files_by_row_count(rows: DataFrame, counts: Sequence[int], file: str = "file") -> DataFrame:
     """Files with one of the given row counts."""
     return rows.groupBy(file).agg(F.count("*").alias("rows")).filter(F.col("rows").isin(*counts))
 

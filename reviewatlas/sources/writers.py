@@ -19,7 +19,7 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header; also what a spreadsheet program opens."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -56,13 +56,13 @@ def test_previous_rows(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
-def test_paged_list_keeps_all(spark):
-    df = spark.range(2500).select(F.when(F.col("id") % 5 == 0, F.lit("small")).otherwise("hot").alias("k"), F.col("id").cast("string").alias("v"))
-    pages = frames.paged_list(df, "k", "v", "pool", page=500).collect()
-    assert sum(len(p.pool.split(",")) for p in pages) == 2500
-    assert [p.page for p in pages if p.k == "small"] == [0]
-    assert len([p for p in pages if p.k == "hot"]) == 4
-    assert max(len(p.pool.split(",")) for p in pages) < 700
+def test_prefix_lists_keep_all_in_order(spark):
+    df = spark.range(2500).select(F.when(F.col("id") % 5 == 0, F.lit("small")).otherwise("hot").alias("k"), F.format_string("A%06d", "id").alias("v"))
+    got = frames.prefix_lists(df.union(spark.sql("SELECT 'hot', CAST(NULL AS STRING)")), "k", "v", "pool", length=5).collect()
+    for k in ("hot", "small"):
+        text = ",".join(r.pool for r in sorted(got, key=lambda r: r.prefix) if r.k == k)
+        assert text.split(",") == [f"A{i:06d}" for i in range(2500) if (i % 5 == 0) == (k == "small")]
+    assert max(len(r.pool.split(",")) for r in got) <= 100
 
 
 def test_top_k_prunes_before_the_shuffle(spark):

@@ -109,3 +109,11 @@ def test_prompt_batches_hold_every_record_once(spark):
     assert max(b.records for b in batches) <= 10
     got = [k for b in batches for k in b.body.split(",") if k]
     assert sorted(got) == [f"r{i:05d}" for i in range(1234)]
+
+
+def test_a_new_record_leaves_other_buckets_alone(spark):
+    df = spark.range(500).select(F.format_string("r%05d", "id").alias("k"))
+    def batches(rows):
+        return {(b.bucket, b.batch): b.body for b in T.prompt_batches(rows, "k", F.concat("k", F.lit(",")), size=10, buckets=16).collect()}
+    before, after = batches(df), batches(df.union(spark.sql("SELECT 'new'")))
+    assert len({k[0] for k in before.keys() | after.keys() if before.get(k) != after.get(k)}) == 1
