@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewatlas.session import scratch_path
@@ -47,6 +47,23 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def bounded_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows for each value of ``by``, the first in the order of a hash of ``key``; rows without either are left out.
+
+    The groups are counted first, from two narrow columns; a threshold on the hash then leaves little more than the sample, so
+    what one task ranks is bounded however large a group is. ``by`` has few values: their counts are read by the driver.
+    """
+    named = rows.where(F.col(by).isNotNull() & F.col(key).isNotNull())
+    counts = {r[0]: r[1] for r in named.groupBy(by).agg(F.count("*")).collect()}
+    if not counts:
+        return named
+    share = F.create_map(*(F.lit(x) for group, n in sorted(counts.items()) for x in (group, (1.2 * most + 100) / n)))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / float(1 << 40)
+    near = named.withColumn("_place", place).where(F.col("_place") < F.element_at(share, F.col(by)))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_place", key))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_place", "_rank")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser: spreads 64-bit values over 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

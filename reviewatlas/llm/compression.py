@@ -13,12 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewatlas.llm.common import slices
+from reviewatlas.llm.common import bounded_sample, slices
 
-#: Fitted on so many documents of each label with at most so many characters, the first by a hash of the id.
+#: Fitted on so many documents of each label, the first by a hash of the id, those with more characters left out.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
 #: Two thirds of the sample make the dictionaries, the others the curve.
 DICTIONARY_SHARE = 2 / 3
@@ -81,15 +81,16 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3
     return float(b[0] / scale), float(b[1])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
-    """Learns from (text, quality, key), quality 1 for good and 0 for bad; other rows are skipped. ``key`` orders the sample.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
+    """Learns from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) marks as good (1) or bad (0); other labels are skipped.
 
-    Without both labels every score is one half.
+    The sample is drawn from the labels, so its ids, at most 2 * ``sample`` of them, are all that meets the documents; of these, texts that are
+    null, empty or of more than ``chars`` characters are left out. Without both labels every score is one half.
     """
-    rows = labelled.where(F.col("quality").isin(0, 1) & F.length("text").between(1, chars))
-    place = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("key"), "text"))
-    chosen = rows.withColumn("_at", place).where(F.col("_at") <= sample).select("quality", "text", "_at").collect()
-    texts = {q: [r["text"].encode() for r in sorted(chosen, key=lambda r: r["_at"]) if r["quality"] == q] for q in (0, 1)}
+    ids = bounded_sample(labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality"), "quality", "doc_id", sample)
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text").between(1, chars))
+    chosen = found.select("quality", "text", F.xxhash64("doc_id").alias("_at")).collect()
+    texts = {q: [r["text"].encode() for r in sorted(chosen, key=lambda r: (r["_at"], r["text"])) if r["quality"] == q] for q in (0, 1)}
     cut = {q: int(len(t) * DICTIONARY_SHARE) for q, t in texts.items()}
     model = Model(dictionary(texts[1][: cut[1]]), dictionary(texts[0][: cut[0]]), 0.0, 0.0)
     feature = model.feature()

@@ -71,14 +71,15 @@ def test_quality_of_documents_never_learned_from(spark):
 def test_compression_feature_and_odd_texts(spark, frame):
     rng = random.Random(1)
     text = lambda q: " ".join(rng.choice(("good fine word here" if q else "bad!! ### junk $$$").split()) for _ in range(200))
-    learn = frame([(text(i % 2), i % 2, i) for i in range(60)] + [(None, 1, 99), ("x", None, 98), ("y", 7, 97)], "text string, quality int, key long")
-    model = compression.fit(learn)
+    docs = frame([(i, text(i % 2)) for i in range(60)] + [(99, None), (98, "x"), (97, "y"), (None, "z")], "doc_id long, text string")
+    labels = frame([(i, i % 2) for i in range(60)] + [(99, 1), (98, None), (97, 7), (500, 1), (None, 0)], "doc_id long, quality int")
+    model = compression.fit(docs, labels)
     feature = model.feature()
     assert feature(b"") == 0 and feature(text(1).encode()) > 0 > feature(text(0).encode())
     rows = [*odd_documents(rng), (50, text(1), "", "", 0), (51, text(0), "", "", 0)]
     got = {r.doc_id: r.score for r in compression.score(frame(rows, DOCS), model).collect()}
     assert got[50] > 0.5 > got[51] and got[1] == got[2] and all(0 <= s <= 1 for s in got.values())
-    empty = compression.fit(frame([], "text string, quality int, key long"))
+    empty = compression.fit(docs, frame([], "doc_id long, quality int"))
     assert [r.score for r in compression.score(frame([(1, "word", 5)], "doc_id long, text string, score long"), empty).collect()] == [0.5]
     assert compression.score(frame([], DOCS), model).count() == 0
 
