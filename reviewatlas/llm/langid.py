@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewatlas.llm.common import slices
+from reviewatlas.llm.common import bounded_sample, slices
 
 #: Fitted on so many documents of each language, the first by a hash of the id; so many words and n-grams of each
 #: length are kept per language.
@@ -43,10 +43,8 @@ def _kept(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE_DOCS, kept_words: int = KEPT_WORDS, kept_grams: int = KEPT_GRAMS) -> Model:
-    """Learns from (text, lang, key); rows without a text or lang are skipped. ``key`` orders the sample."""
-    rows = labelled.where("text is not null and lang is not null")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "text"))
-    chosen = rows.withColumn("_at", place).where(F.col("_at") <= sample)
+    """Learns from (text, lang, key); rows without a text, lang or key are skipped. ``key`` orders the sample."""
+    chosen = bounded_sample(labelled.where("text is not null").select("key", "lang", "text"), "lang", "key", sample)
     counts = chosen.select("lang", F.explode(spark_words(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
     marked = F.concat(F.lit("_"), F.col("token"), F.lit("_"))
     gram = lambda n: F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: marked.substr(i, F.lit(n)))
