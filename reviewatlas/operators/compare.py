@@ -17,12 +17,14 @@ from reviewatlas.functions.frames import keep_one, spread, top_k
 from reviewatlas.functions.neighbours import containment_pairs, nearest_within
 from reviewatlas.operators import aspects
 
-NO_NICHE = "NONE"
+#: What a family without a niche looks for: in match-ups a word that no niche holds; elsewhere nothing in particular, so that every
+#: candidate with a niche fits.
+NO_NICHE, ANY_NICHE = "NONE", ""
 
 
 def niche_members(parents: DataFrame) -> DataFrame:
     """(parent_asin, wanted): for every primary niche in use, the families whose niche list
-    holds it as a substring. Matching runs on the distinct niche words only."""
+    holds it as a substring; for the empty one, all families with a niche. Matching runs on the distinct niche words only."""
     words = parents.select("parent_asin", F.explode(F.split("niche", ",")).alias("_word")).withColumn(
         "_word", F.trim("_word")
     )
@@ -30,12 +32,13 @@ def niche_members(parents: DataFrame) -> DataFrame:
         F.col("wanted") != ""
     )
     pairs = containment_pairs(wanted, "wanted", words, "_word")
-    return words.join(pairs, "_word").select("parent_asin", "wanted").distinct()
+    named = words.join(pairs, "_word").select("parent_asin", "wanted").distinct()
+    return named.unionByName(parents.filter(F.col("niche").isNotNull()).select("parent_asin", F.lit(ANY_NICHE).alias("wanted")))
 
 
 def _seekers(parents: DataFrame) -> DataFrame:
     return parents.filter(F.col("category").isNotNull()).select(
-        "parent_asin", "category", F.coalesce(primary_niche("niche"), F.lit(NO_NICHE)).alias("wanted")
+        "parent_asin", "category", F.coalesce(primary_niche("niche"), F.lit(ANY_NICHE)).alias("wanted")
     )
 
 
@@ -334,14 +337,20 @@ def tale_of_tape(products: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def heatmap_candidates(products: DataFrame, parents: DataFrame, k: int = 15) -> DataFrame:
-    """Every family with itself and the ``k`` most rated others of its category."""
+def _most_rated(products: DataFrame, parents: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(families with a category, the ``k`` most rated of each category with their rank ``lead``)."""
     rated = products.groupBy("parent_asin").agg(F.max("real_total_ratings").alias("volume"))
     listed = rated.join(parents.select("parent_asin", "category").filter(F.col("category").isNotNull()), "parent_asin")
     order = [F.desc_nulls_last("volume"), F.asc("parent_asin")]
-    leaders = top_k(listed, "category", order, k + 1).select("category", "volume", "parent_asin")
+    return listed, top_k(listed, "category", order, k, rank="lead")
+
+
+def heatmap_candidates(products: DataFrame, parents: DataFrame, k: int = 15) -> DataFrame:
+    """Every family with itself and the ``k`` most rated others of its category."""
+    listed, leaders = _most_rated(products, parents, k + 1)
+    order = [F.desc_nulls_last("volume"), F.asc("parent_asin")]
     offered = (
-        listed.select(F.col("parent_asin").alias("for_asin"), "category").join(leaders, "category")
+        listed.select(F.col("parent_asin").alias("for_asin"), "category").join(leaders.drop("lead"), "category")
         .filter(F.col("for_asin") != F.col("parent_asin"))
     )
     others = top_k(offered, "for_asin", order, k).select("for_asin", F.col("parent_asin").alias("asin"))
@@ -365,16 +374,45 @@ def heatmap_cells(impact: DataFrame, products: DataFrame, parents: DataFrame, pe
     )
 
 
-def heatmap_drivers(cells: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
-    """Per heat map (``for_asin``): the ``k`` most positive and ``k`` most negative aspects over
-    its products, with their weight (sum of absolute scores)."""
-    grid = candidates.join(cells.select("asin", "aspect", "score"), "asin")
-    totals = grid.groupBy("for_asin", "aspect").agg(
-        F.sum("score").alias("market_score"), F.sum(F.abs("score")).alias("weight")
+def heatmap_drivers(cells: DataFrame, products: DataFrame, parents: DataFrame, k: int = 10, peers: int = 15) -> DataFrame:
+    """Per heat map (``for_asin``, with the ``peers`` most rated others of its category): the ``k`` most positive and ``k`` most
+    negative aspects over its products, with their weight (sum of absolute scores).
+
+    The cells of a category's first ``peers`` + 1 families are summed once. One of these families has exactly that sum; any
+    other has the sum of the first ``peers`` and its own cells. So a family meets one row of its category, not the cells of all its peers.
+    """
+    listed, leaders = _most_rated(products, parents, peers + 1)
+    own = cells.select(F.col("asin").alias("parent_asin"), "aspect", "score")
+    first = F.col("lead") <= peers
+    sums = (
+        leaders.select("parent_asin", "category", "lead").join(own, "parent_asin").groupBy("category", "aspect")
+        .agg(
+            F.sum("score").alias("all"), F.sum(F.abs("score")).alias("all_w"),
+            F.sum(F.when(first, F.col("score"))).alias("some"), F.sum(F.when(first, F.abs("score"))).alias("some_w"),
+        )
     )
-    up = top_k(totals.filter("market_score > 0"), "for_asin", [F.desc("market_score"), F.asc("aspect")], k, rank="rank")
-    down = top_k(totals.filter("market_score < 0"), "for_asin", [F.asc("market_score"), F.asc("aspect")], k, rank="rank")
-    return up.withColumn("section", F.lit("positive")).unionByName(down.withColumn("section", F.lit("negative")))
+    # bounded: the cells of peers + 1 products, and of one product
+    market = sums.groupBy("category").agg(F.collect_list(F.struct("aspect", "all", "all_w", "some", "some_w")).alias("market"))
+    mine = own.groupBy("parent_asin").agg(F.collect_list(F.struct("aspect", "score")).alias("mine"))
+    inside = leaders.select("parent_asin", F.lit(True).alias("inside"))
+    rows = listed.join(inside, "parent_asin", "left").join(mine, "parent_asin", "left").join(market, "category", "left")
+    total = "array<struct<aspect:string,market_score:double,weight:double>>"
+    rows = rows.withColumn("totals", F.expr(f"""
+        CASE WHEN inside THEN transform(market, m -> named_struct('aspect', m.aspect, 'market_score', m.all, 'weight', m.all_w))
+        ELSE concat(
+          transform(filter(coalesce(market, array()), m -> m.some IS NOT NULL AND NOT exists(coalesce(mine, array()), o -> o.aspect <=> m.aspect)),
+            m -> named_struct('aspect', m.aspect, 'market_score', m.some, 'weight', m.some_w)),
+          transform(coalesce(mine, array()), o -> transform(array(filter(coalesce(market, array()), m -> m.aspect <=> o.aspect)[0]),
+            m -> named_struct('aspect', o.aspect, 'market_score', o.score + coalesce(m.some, 0D), 'weight', abs(o.score) + coalesce(m.some_w, 0D)))[0]))
+        END""").cast(total))
+
+    def strongest(section: str, sign: int) -> DataFrame:
+        kept = F.filter("totals", lambda x: x["market_score"] * sign > 0)
+        order = F.array_sort(F.transform(kept, lambda x: F.struct((x["market_score"] * -sign).alias("o"), x["aspect"].alias("aspect"), x.alias("x"))))
+        found = rows.select(F.col("parent_asin").alias("for_asin"), F.posexplode(F.slice(order, 1, k)).alias("at", "e"))
+        return found.select("for_asin", "e.x.*", F.lit(section).alias("section"), (F.col("at") + 1).alias("rank"))
+
+    return strongest("positive", 1).unionByName(strongest("negative", -1))
 
 
 def heatmap_pivot(cells: DataFrame, chosen: Sequence[str]) -> DataFrame:

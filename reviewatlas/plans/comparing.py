@@ -115,41 +115,49 @@ def _(t):
     return compare.match_competitors(t.products, t.product_parents, k=7)
 
 
+# some families have no niche, some an empty one
+_VAGUE = "(SELECT * REPLACE (CASE WHEN parent_asin LIKE '%05' THEN NULL WHEN parent_asin LIKE '%10' THEN '' ELSE niche END AS niche) FROM product_parents)"
+
+
+def vague(t):
+    return t.product_parents.withColumn("niche", F.expr("CASE WHEN parent_asin LIKE '%05' THEN NULL WHEN parent_asin LIKE '%10' THEN '' ELSE niche END"))
+
+
 def _alternatives(where: str) -> str:
     return f"""
     SELECT * FROM (
       SELECT q.parent_asin AS for_asin, c.parent_asin, c.title, q.category, c.total_mentions, c.positive_score,
-        CASE WHEN c.niche ILIKE '%' || coalesce(trim(split_part(q.niche, ',', 1)), 'NONE') || '%' THEN 1 ELSE 0 END AS niche_match,
-        CAST(row_number() OVER (PARTITION BY q.parent_asin ORDER BY (c.niche ILIKE '%' || coalesce(trim(split_part(q.niche, ',', 1)), 'NONE') || '%') DESC,
+        CASE WHEN c.niche ILIKE '%' || coalesce(trim(split_part(q.niche, ',', 1)), '') || '%' THEN 1 ELSE 0 END AS niche_match,
+        CAST(row_number() OVER (PARTITION BY q.parent_asin ORDER BY CASE WHEN c.niche ILIKE '%' || coalesce(trim(split_part(q.niche, ',', 1)), '') || '%' THEN 1 ELSE 0 END DESC,
           c.positive_score DESC, c.parent_asin, c.title) AS INTEGER) AS rank
-      FROM product_parents q JOIN (
+      FROM {_VAGUE} q JOIN (
         SELECT p.parent_asin, p.title, pp.category, pp.niche, count(*) AS total_mentions,
           round(count(*) FILTER (WHERE sentiment = 'Positive') * 100.0::DOUBLE / count(*), 1) AS positive_score
-        FROM products p JOIN product_parents pp ON pp.parent_asin = p.parent_asin JOIN tags_exact t ON t.parent_asin = p.parent_asin
+        FROM products p JOIN {_VAGUE} pp ON pp.parent_asin = p.parent_asin JOIN tags_exact t ON t.parent_asin = p.parent_asin
         WHERE {where} GROUP BY 1, 2, 3, 4 HAVING count(*) > 10) c ON c.category = q.category AND c.parent_asin <> q.parent_asin)
     WHERE rank <= 3"""
 
 
 @query("better_alternatives", _alternatives("std_category = 'Quality' OR std = 'Quality'"), ["products", "product_parents", "tags_exact"])
 def _(t):
-    return compare.better_alternatives(t.products, t.product_parents, t.review_tags, t.aspect_mapping, "Quality")
+    return compare.better_alternatives(t.products, vague(t), t.review_tags, t.aspect_mapping, "Quality")
 
 
 @query("better_alternatives_overall", _alternatives("true"), ["products", "product_parents", "tags_exact"])
 def _(t):
-    return compare.better_alternatives(t.products, t.product_parents, t.review_tags, t.aspect_mapping, None)
+    return compare.better_alternatives(t.products, vague(t), t.review_tags, t.aspect_mapping, None)
 
 
-@query("competitor_gaps", """
+@query("competitor_gaps", f"""
     SELECT * FROM (WITH c AS (
       SELECT pp.parent_asin, pp.category, pp.niche, coalesce(pp.title, min(p.title)) AS title, coalesce(pp.brand, min(p.brand)) AS brand,
         max(real_average_rating) AS rating, max(real_total_ratings) AS reviews
-      FROM products p JOIN product_parents pp ON pp.parent_asin = p.parent_asin
+      FROM products p JOIN {_VAGUE} pp ON pp.parent_asin = p.parent_asin
       GROUP BY pp.parent_asin, pp.category, pp.niche, pp.title, pp.brand HAVING max(real_total_ratings) > 5),
     r AS (SELECT q.parent_asin AS for_asin, c.parent_asin, substr(c.title, 1, 50) AS title, c.brand, round(c.rating, 2) AS rating, c.reviews,
-        CAST(row_number() OVER (PARTITION BY q.parent_asin ORDER BY (c.niche ILIKE '%' || coalesce(trim(split_part(q.niche, ',', 1)), 'NONE') || '%') DESC,
+        CAST(row_number() OVER (PARTITION BY q.parent_asin ORDER BY CASE WHEN c.niche ILIKE '%' || coalesce(trim(split_part(q.niche, ',', 1)), '') || '%' THEN 1 ELSE 0 END DESC,
           c.rating DESC NULLS LAST, c.reviews DESC, c.parent_asin) AS INTEGER) AS rank
-      FROM product_parents q JOIN c ON c.category = q.category AND c.parent_asin <> q.parent_asin),
+      FROM {_VAGUE} q JOIN c ON c.category = q.category AND c.parent_asin <> q.parent_asin),
     w AS (SELECT parent_asin AS for_asin, aspect FROM tags_exact WHERE sentiment = 'Negative' GROUP BY 1, 2
       QUALIFY row_number() OVER (PARTITION BY parent_asin ORDER BY count(*) DESC, aspect) <= 3),
     g AS (SELECT r.for_asin, r.parent_asin, w.aspect, count(*) AS positive_mentions
@@ -158,7 +166,7 @@ def _(t):
     SELECT r.*, g.aspect, g.positive_mentions FROM r LEFT JOIN g ON g.for_asin = r.for_asin AND g.parent_asin = r.parent_asin WHERE rank <= 3)""",
     ["products", "product_parents", "tags_exact"])
 def _(t):
-    return compare.competitor_gaps(t.products, t.product_parents, t.review_tags, t.aspect_mapping)
+    return compare.competitor_gaps(t.products, vague(t), t.review_tags, t.aspect_mapping)
 
 
 CELLS = """cells AS (SELECT asin, substr(CASE WHEN brand IN ('', 'None') THEN 'Unknown' ELSE brand END, 1, 10) || ' (' || asin || ')' AS label, aspect,
@@ -183,7 +191,7 @@ def _(t):
     ["impact", "products", "product_parents"])
 def _(t):
     cells = compare.heatmap_cells(impact(t), t.products, t.product_parents)
-    return compare.heatmap_drivers(cells, compare.heatmap_candidates(t.products, t.product_parents))
+    return compare.heatmap_drivers(cells, t.products, t.product_parents)
 
 
 CHOSEN = ["A000000005", "A000000010", "A000000015", "A000000020", "A000000030"]

@@ -120,6 +120,11 @@ def _(t):
     return up.move_key(t.products.select("asin", "parent_asin"), t.reviews.select("review_id", "parent_asin"), t.product_parents, moves(t))[2]
 
 
+@query("move_key_reviews", f"SELECT * FROM (WITH {_MOVES} SELECT review_id, coalesce(new, parent_asin) AS parent_asin FROM reviews LEFT JOIN moves ON old = parent_asin)", ["reviews", "pairs"])
+def _(t):
+    return up.move_key(t.products.select("asin", "parent_asin"), t.reviews.select("review_id", "parent_asin"), t.product_parents, moves(t))[1]
+
+
 @query("update_where", "SELECT asin, CASE WHEN category = 'PROMO' AND real_total_ratings > 500 THEN 'HOT' ELSE category END AS category FROM products", ["products"])
 def _(t):
     hot = (F.col("category") == "PROMO") & (F.col("real_total_ratings") > 500)
@@ -290,6 +295,18 @@ def _(t):
     )
 
 
+@query("apply_backfill_parents", f"""SELECT * FROM (WITH {_BF}, n AS (SELECT *, CASE WHEN lower(title) LIKE '%draw%' OR lower(title) LIKE '%book%' THEN 'book' ELSE 'comforter' END AS category,
+      CASE WHEN lower(title) LIKE '%how to draw%' THEN 'How to Draw' END AS niche FROM bf)
+    SELECT coalesce(p.parent_asin, n.asin) AS parent_asin, coalesce(n.category, p.category) AS category, coalesce(n.niche, p.niche) AS niche, coalesce(n.title, p.title) AS title,
+      coalesce(n.brand, p.brand) AS brand, coalesce(n.image_url, p.image_url) AS image_url FROM product_parents p FULL JOIN n ON n.asin = p.parent_asin)""", ["rp", "product_parents"])
+def _(t):
+    from reviewatlas.operators.clean import clean_backfill
+
+    return linkage.apply_backfill(clean_backfill(raw_products(t)), t.products, t.product_parents)[1].select(
+        "parent_asin", "category", "niche", "title", "brand", "image_url"
+    )
+
+
 @query("enrich_children", """SELECT * FROM (WITH v AS (SELECT 'V' || substr(child_asin, 2) AS asin, parent_asin, min('T ' || variation_text) AS title FROM reviews
       WHERE parent_asin IN (SELECT parent_asin FROM product_parents) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY 'V' || substr(child_asin, 2) ORDER BY parent_asin) = 1)
     SELECT asin, parent_asin, title FROM products UNION ALL SELECT * FROM v)""", ["reviews", "products", "product_parents"])
@@ -432,6 +449,12 @@ def _(t):
     return linkage.cleanup_orphans(t.products, vague, sheet(t, 0))[1].select("parent_asin", "category", "brand", "niche", "title")
 
 
+@query("cleanup_orphans_products", f"""SELECT * FROM (WITH {_sheet('s0', 0)}, o AS (SELECT asin, min(parent_asin) AS parent_asin FROM s0 GROUP BY 1)
+    SELECT p.asin, coalesce(o.parent_asin, p.parent_asin) AS parent_asin FROM products p LEFT JOIN o ON o.asin = p.asin)""", ["products"])
+def _(t):
+    return linkage.cleanup_orphans(t.products, t.product_parents, sheet(t, 0))[0].select("asin", "parent_asin")
+
+
 @query("parent_centric", """SELECT parent_asin AS asin, parent_asin, title, brand FROM products
     QUALIFY row_number() OVER (PARTITION BY parent_asin ORDER BY (asin = parent_asin) DESC, asin) = 1""", ["products"])
 def _(t):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewatlas.operators import social, stats
+from reviewatlas.plans.fixtures import _PLATFORM
 from reviewatlas.plans.registry import query
 
 _POST = ["platform", "post_id", "keyword", "author", "text", "url", "likes", "shares", "comments_count", "views"]
@@ -15,12 +16,14 @@ _POST = ["platform", "post_id", "keyword", "author", "text", "url", "likes", "sh
       CASE WHEN event_id % 3 = 0 THEN 'a' || user_id WHEN event_id % 3 = 1 THEN 'u' || user_id END AS author,
       CASE WHEN event_id % 4 = 0 THEN 'post ' || event_type WHEN event_id % 4 = 1 THEN event_type WHEN event_id % 2 = 0 THEN NULL ELSE '[Video/Reel Media]' END AS text,
       'http://f/' || event_id AS url, CASE WHEN event_id % 5 = 0 THEN CAST(floor(value * 2) AS BIGINT) ELSE CAST(floor(value) AS BIGINT) END AS likes,
-      CAST(floor(value / 2) AS BIGINT) AS shares, CAST(0 AS BIGINT) AS comments_count, CAST(0 AS BIGINT) AS views
+      CAST(floor(value / 2) AS BIGINT) AS shares, CAST(0 AS BIGINT) AS comments_count, CAST(0 AS BIGINT) AS views,
+      CASE WHEN event_id % 6 <> 0 THEN date_trunc('second', ts) END AS created_at
     FROM events""")
 def _(t):
     e, n = F.col("event_id"), F.col("event_id")
     user = F.col("user_id").cast("string")
     raw = t.raw("events").select(
+        F.when(n % 6 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("date"),
         F.when(n % 2 == 0, e.cast("string")).otherwise("").alias("postId"), e.alias("id"),
         F.when(n % 4 == 0, F.concat(F.lit("post "), "event_type")).alias("postText"), F.when(n % 4 == 1, F.col("event_type")).alias("text"),
         F.when(n % 2 == 1, "Video").otherwise("Post").alias("__typename"),
@@ -29,7 +32,7 @@ def _(t):
         F.when(n % 5 == 0, F.floor(F.col("value") * 2)).otherwise(0).alias("like_count"), F.floor("value").alias("play_count"),
         F.floor(F.col("value") / 2).alias("shares"), F.concat(F.lit("http://f/"), e.cast("string")).alias("url"),
     )
-    return social.normalise_facebook(raw, "kw").select(*_POST)
+    return social.normalise_facebook(raw, "kw").select(*_POST, "created_at")
 
 
 @query("normalise_instagram", """SELECT 'instagram' AS platform, CAST(event_id AS VARCHAR) AS post_id, event_type AS keyword, 'u' || user_id AS author, event_type AS text,
@@ -74,14 +77,19 @@ def _(t):
 
 
 @query("normalise_ads", """SELECT CAST(event_id AS VARCHAR) AS ad_id, 'kw' AS keyword, 'page' || user_id AS page_name, event_type AS ad_body,
-    CAST(ts AS DATE) AS start_date, CASE WHEN event_id % 2 = 0 THEN 'facebook, instagram' ELSE 'facebook' END AS platforms FROM events""")
+    CAST(ts AS DATE) AS start_date, CASE WHEN event_id % 2 = 0 THEN 'facebook, instagram' ELSE 'facebook' END AS platforms, 'meta_ads' AS platform,
+    CASE WHEN event_id % 3 = 0 THEN 'SHOP' END AS cta_type, 'video' || event_id % 4 AS media_type, CAST(ts AS DATE) + 9 AS end_date, 'http://ads/' || event_id AS url FROM events""")
 def _(t):
     raw = t.raw("events").select(
         F.col("event_id").alias("id"), F.concat(F.lit("page"), F.col("user_id").cast("string")).alias("pageName"), F.col("event_type").alias("adBody"),
-        F.date_format("ts", "yyyy-MM-dd").alias("startDate"),
+        F.date_format("ts", "yyyy-MM-dd").alias("startDate"), F.when(F.col("event_id") % 3 == 0, "SHOP").alias("ctaType"),
+        F.concat(F.lit("video"), (F.col("event_id") % 4).cast("string")).alias("mediaType"), F.date_format(F.date_add("ts", 9), "yyyy-MM-dd").alias("endDate"),
+        F.concat(F.lit("http://ads/"), F.col("event_id").cast("string")).alias("adSnapshotUrl"),
         F.when(F.col("event_id") % 2 == 0, F.array(F.lit("facebook"), F.lit("instagram"))).otherwise(F.array(F.lit("facebook"))).alias("publisherPlatforms"),
     )
-    return social.normalise_ads(raw, "kw").select("ad_id", "keyword", "page_name", "ad_body", "start_date", "platforms")
+    return social.normalise_ads(raw, "kw").select(
+        "platform", "ad_id", "keyword", "page_name", "ad_body", "cta_type", "media_type", "start_date", "end_date", "platforms", "url"
+    )
 
 
 @query("repair_feed", "SELECT CAST(event_id AS VARCHAR) AS post_id, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS text, value FROM events")
@@ -95,7 +103,7 @@ def _(t):
 
 @query("estimate_cost", """SELECT event_id, round(floor(value) / 1000.0::DOUBLE * CASE WHEN user_id % 3 = 0 THEN 0.3 WHEN user_id % 3 = 1 THEN CASE WHEN event_type = 'view' THEN 1.5 ELSE 2.5 END ELSE 1.0 END::DOUBLE, 8) AS cost_usd FROM events""")
 def _(t):
-    rows = t.raw("events").join(t.charges.select(F.col("log_id").alias("event_id"), "platform"), "event_id").select(
+    rows = t.raw("events").withColumn("platform", F.expr(_PLATFORM)).select(
         "event_id", "platform", F.floor("value").alias("limit"), F.when(F.col("event_type") == "view", "comments").otherwise("feed").alias("task_type")
     )
     return social.estimate_cost(rows).select("event_id", F.round("cost_usd", 8).alias("cost_usd"))

@@ -169,14 +169,15 @@ def _(t):
 
 _DOCUMENT = """
     SELECT k.asin, total_reviews, round(avg_rating, 6) AS avg_rating, total_variations, round(neg_pct, 6) AS neg_pct,
-      coalesce(raw_text, '') AS raw_text, coalesce(weighted_text, '') AS weighted_text, coalesce(months, 0) AS months, first_month
+      coalesce(raw_text, '') AS raw_text, coalesce(weighted_text, '') AS weighted_text, coalesce(trend_text, '') AS trend_text
     FROM kpis k
     LEFT JOIN (SELECT parent_asin, string_agg(aspect || ':' || positive || ':' || negative, '|' ORDER BY positive + negative DESC, aspect) AS raw_text
                FROM ({mentions}) GROUP BY 1) r ON r.parent_asin = k.asin
     LEFT JOIN (SELECT parent_asin, string_agg(aspect || ':' || est_positive || ':' || est_negative || ':' || net_impact || ':' || total_impact_vol, '|'
                  ORDER BY total_impact_vol DESC, net_impact DESC, aspect) AS weighted_text FROM impact GROUP BY 1) w ON w.parent_asin = k.asin
-    LEFT JOIN (SELECT parent_asin, count(DISTINCT date_trunc('month', review_date)) AS months,
-                 CAST(date_trunc('month', min(review_date)) AS DATE) AS first_month FROM reviews GROUP BY 1) m ON m.parent_asin = k.asin
+    LEFT JOIN (SELECT parent_asin, string_agg(month || ':' || CAST(round(score * 10000) AS BIGINT), '|' ORDER BY month) AS trend_text
+               FROM (SELECT parent_asin, CAST(CAST(date_trunc('month', review_date) AS DATE) AS VARCHAR) AS month, avg(rating_score) AS score FROM reviews GROUP BY 1, 2) GROUP BY 1) m
+      ON m.parent_asin = k.asin
     {where}"""
 
 
@@ -190,8 +191,8 @@ def _flat_document(doc):
         F.round("kpis.neg_pct", 6).alias("neg_pct"),
         text("sentiment_raw", ["aspect", "positive", "negative"]).alias("raw_text"),
         text("sentiment_weighted", ["aspect", "est_positive", "est_negative", "net_impact", "total_impact_vol"]).alias("weighted_text"),
-        F.coalesce(F.array_size("rating_trend"), F.lit(0)).cast("bigint").alias("months"),
-        F.get("rating_trend", F.lit(0))["month"].alias("first_month"),
+        F.coalesce(F.array_join(F.transform("rating_trend", lambda e: F.concat_ws(
+            ":", e["month"].cast("string"), F.round(e["avg_score"] * 10000).cast("bigint").cast("string"))), "|"), F.lit("")).alias("trend_text"),
     )
 
 

@@ -8,8 +8,10 @@ from reviewatlas.operators.clean import clean_reviews
 from reviewatlas.plans.cleaning import REVIEW_COLUMNS, shown
 from reviewatlas.plans.linking import _LINKED
 from reviewatlas.plans.raws import raw_reviews
-from reviewatlas.plans.registry import query
+from reviewatlas.plans.registry import QUERIES, query
+from reviewatlas.plans.tagging import responses
 from reviewatlas.plans.stats import _DOCUMENT, _flat_document, _mentions_sql
+from reviewatlas.schemas import conform
 from reviewatlas.session import scratch_path
 from reviewatlas.sources import writers
 from reviewatlas.streaming import jobs
@@ -87,6 +89,34 @@ def _(t):
     return _flat_document(jobs.latest(t.spark.read.parquet(f"{base}/out"), ["asin"]))
 
 
+def _tagged(t):
+    """The responses as a stream, twice: the second delivery repeats the first."""
+    base = scratch_path(t.spark, "tagged")
+    conform(t.reviews, "reviews").write.parquet(f"{base}/reviews")
+    conform(t.review_tags, "review_tags").write.parquet(f"{base}/old")
+    for _ in range(2):
+        writers.write_lines(responses(t), f"{base}/lines", mode="append")
+        lines = jobs.read_files(t.spark, f"{base}/lines", "text", "value string")
+        paths = [f"{base}/{p}" for p in ("reviews", "old", "log", "stats", "check")]
+        _done(jobs.stream_tags(lines, t.products, t.aspect_mapping, *paths))
+    return base
+
+
+@query("stream_tags", QUERIES["ingest_tags"].oracle)
+def _(t):
+    base = _tagged(t)
+    return jobs.current_tags(t.spark, f"{base}/old", f"{base}/log").select("review_id", "parent_asin", "category", "aspect", "sentiment")
+
+
+@query("compacted_status", "SELECT o_custkey AS user_id, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS seq FROM orders GROUP BY 1")
+def _(t):
+    base = scratch_path(t.spark, "compacted")
+    log = t.raw("orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("batch"))
+    log.write.parquet(f"{base}/log")
+    jobs.compact(t.spark, f"{base}/log", ["user_id"], f"{base}/few")
+    return t.spark.read.parquet(f"{base}/few").drop("batch")
+
+
 @query("stream_clean", "SELECT * FROM clean_reviews", ["clean_reviews"])
 def _(t):
     """Cleaning is the same function on a stream as on a table."""

@@ -10,6 +10,7 @@ from reviewatlas.operators.upsert import upsert
 from reviewatlas.plans.cleaning import shown
 from reviewatlas.plans.raws import raw_products, raw_reviews
 from reviewatlas.plans.registry import query
+from reviewatlas.plans.stats import _DOCUMENT, _flat_document, _mentions_sql
 from reviewatlas.plans.tagging import responses, _FRESH
 from reviewatlas.session import scratch_path
 from reviewatlas.sources import readers, writers
@@ -137,6 +138,32 @@ def _(t):
     )
 
 
+@query("json_arrays", "SELECT asin, title, category FROM products", ["products"])
+def _(t):
+    """Files with one array of at most 500 records each."""
+    path = scratch_path(t.spark, "arrays")
+    block = F.floor(F.substring("asin", 2, 9).cast("bigint") / 500)
+    rows = t.products.groupBy(block.alias("block")).agg(F.to_json(F.collect_list(F.struct("asin", "title", "category"))).alias("value"))
+    rows.write.partitionBy("block").text(path)
+    return readers.read_json_arrays(t.spark, f"{path}/*", "asin string, title string, category string")
+
+
+@query("attached_snapshot", "SELECT category, count(*) AS products FROM products p JOIN product_parents pp USING (parent_asin, category) GROUP BY 1", ["products", "product_parents"])
+def _(t):
+    base = scratch_path(t.spark, "snapshot")
+    t.products.select("parent_asin", "category").write.parquet(f"{base}/products")
+    t.product_parents.select("parent_asin", "category").write.parquet(f"{base}/parents")
+    readers.attach(t.spark, base, ["products", "parents"], "old")
+    return t.spark.sql("SELECT category, count(*) AS products FROM old_products JOIN old_parents USING (parent_asin, category) GROUP BY 1")
+
+
+@query("query_one", "SELECT max(real_total_ratings) AS most, CAST(NULL AS VARCHAR) AS nothing FROM products WHERE category = 'PROMO'", ["products"])
+def _(t):
+    most = readers.query_one(t.spark, "SELECT max(real_total_ratings) FROM {p} WHERE category = :c", {"c": "PROMO"}, p=t.products)
+    nothing = readers.query_one(t.spark, "SELECT title FROM {p} WHERE asin = :a", {"a": "none"}, p=t.products)
+    return t.spark.range(1).select(F.lit(most).cast("bigint").alias("most"), F.lit(nothing).cast("string").alias("nothing"))
+
+
 @query("append_by_name", "SELECT platform, post_id, views, CAST(NULL AS BIGINT) AS likes, 2 AS copies FROM posts", ["posts"])
 def _(t):
     base = scratch_path(t.spark, "posts")
@@ -180,14 +207,16 @@ def _(t):
     return back.groupBy("category").agg(F.count("*").alias("cnt"), F.count_if(F.col("state") == "new").alias("fresh"))
 
 
-@query("saved_stats", """SELECT asin, CASE WHEN asin IN (SELECT parent_asin FROM product_parents WHERE category = 'PROMO') THEN total_reviews ELSE 0 END AS total_reviews FROM kpis""",
-       ["kpis", "product_parents"])
+@query("saved_stats", f"""SELECT d.* FROM ({_DOCUMENT.format(mentions=_mentions_sql("tags_exact", 2, 15), where="")}) d WHERE asin IN (SELECT parent_asin FROM product_parents WHERE category = 'PROMO')
+    UNION ALL BY NAME SELECT asin, 0 AS total_reviews, '' AS raw_text, '' AS weighted_text, '' AS trend_text FROM kpis WHERE asin NOT IN (SELECT parent_asin FROM product_parents WHERE category = 'PROMO')""",
+       ["kpis", "tags_exact", "impact", "reviews", "product_parents"])
 def _(t):
-    documents = stats.stats_json(stats.product_stats(t.products, t.reviews, t.review_tags, t.aspect_mapping))
+    numbers = stats.product_stats(t.products, t.reviews, t.review_tags, t.aspect_mapping)
+    documents = stats.stats_json(numbers)
     promo = t.product_parents.filter("category = 'PROMO'").select(F.col("parent_asin").alias("asin"))
     old = documents.withColumn("metrics_json", F.lit('{"kpis": {"total_reviews": 0}}'))
     saved = upsert(old, documents.join(promo, "asin", "left_semi"), ["asin"], "overwrite")
-    return saved.select("asin", F.get_json_object("metrics_json", "$.kpis.total_reviews").cast("bigint").alias("total_reviews"))
+    return _flat_document(saved.select("asin", F.from_json("metrics_json", numbers.drop("asin").schema).alias("d")).select("asin", "d.*"))
 
 
 @query("tracking_sheet", """SELECT parent_asin AS "Parent Asin", CASE WHEN category = 'PROMO' THEN 'Scraped' ELSE 'Pending' END AS "Status",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -32,16 +33,20 @@ def build_session(app: str = "reviewatlas", cores: str | None = None) -> SparkSe
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="reviewatlas-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a folder of its own: executors
-    on other machines could not read it.
+    Only a local session without that setting falls back to a folder of its own, one per process: executors
+    on other machines could not read it. The session's own settings are left alone.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="reviewatlas-")
-        spark.sparkContext.setCheckpointDir(base)
+        base = _own_folder()
     return os.path.join(base, "reviewatlas", f"{name}-{uuid.uuid4().hex}")

@@ -13,10 +13,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from reviewatlas.functions.frames import keep_one
-from reviewatlas.operators import clean, linkage, stats
+from reviewatlas.operators import clean, linkage, stats, tags
 from reviewatlas.operators.upsert import latest_status
 from reviewatlas.schemas import SCHEMAS, conform
 
@@ -97,18 +97,65 @@ def current_status(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def stream_stats(
-    changes: DataFrame, products: DataFrame, reviews: DataFrame, tags: DataFrame, mapping: DataFrame, path: str, checkpoint: str
+    changes: DataFrame, products: DataFrame, reviews: DataFrame | str, tagged: DataFrame | str, mapping: DataFrame, path: str, checkpoint: str
 ) -> StreamingQuery:
-    """New tags or reviews (column ``parent_asin``): recompute only the families they touch."""
+    """New tags or reviews (column ``parent_asin``): recompute only the families they touch. Tables given by path are read
+    again in every batch."""
 
     def batch(df: DataFrame, number: int) -> None:
         touched = df.select(F.col("parent_asin").alias("asin")).distinct()
-        fresh = stats.product_stats(products, reviews, tags, mapping, touched)
+        now = [table(df.sparkSession, x, name) if isinstance(x, str) else x for x, name in ((reviews, "reviews"), (tagged, "review_tags"))]
+        fresh = stats.product_stats(products, *now, mapping, touched)
         fresh.withColumn("batch", F.lit(number).cast("bigint")).write.mode("append").parquet(path)
 
     return _start(changes, batch, checkpoint)
 
 
+def current_tags(spark: SparkSession, tags_path: str, log_path: str) -> DataFrame:
+    """Tags after ``stream_tags``: of a review that a response covered the tags of its newest batch, else the stored ones."""
+    done = table(spark, f"{log_path}/done", "review_id string, batch bigint").groupBy("review_id").agg(F.max("batch").alias("batch"))
+    fresh = table(spark, f"{log_path}/tags", StructType([*SCHEMAS["review_tags"].fields, StructField("batch", LongType())]))
+    newest = fresh.join(done, ["review_id", "batch"], "left_semi").drop("batch").dropDuplicates(["review_id", "tag_id"])
+    stored = table(spark, tags_path, "review_tags").join(done, "review_id", "left_anti")
+    return stored.unionByName(newest)
+
+
+def stream_tags(
+    lines: DataFrame, products: DataFrame, mapping: DataFrame, reviews_path: str, tags_path: str, log_path: str, stats_path: str, checkpoint: str
+) -> StreamingQuery:
+    """Model responses (column ``value``) to tags, then the statistics of the families they touch, in one chained batch.
+
+    Reviews and tags are read by path in every batch, so rows added meanwhile count. A batch appends its tags and the reviews it covers
+    under its number; ``current_tags`` takes the newest, so a replayed batch changes nothing.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        reviews = table(spark, reviews_path, "reviews")
+        none = spark.createDataFrame([], SCHEMAS["review_tags"])
+        items = tags.tag_items(df).persist(StorageLevel.MEMORY_AND_DISK)
+        mark = F.lit(number).cast("bigint").alias("batch")
+        try:
+            fresh, done = tags.ingest_tags(items, reviews, none)
+            conform(fresh, "review_tags").select("*", mark).write.mode("append").parquet(f"{log_path}/tags")
+            done.select("review_id", mark).write.mode("append").parquet(f"{log_path}/done")
+            touched = reviews.join(done, "review_id", "left_semi").select(F.col("parent_asin").alias("asin")).distinct()
+            now = current_tags(spark, tags_path, log_path)
+            stats.product_stats(products, reviews, now, mapping, touched).select("*", mark).write.mode("append").parquet(stats_path)
+        finally:
+            items.unpersist()
+
+    return _start(lines, batch, checkpoint)
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], to: str) -> None:
+    """Write the newest row of every key of a log as a new log of few files, which later batches may be appended to. Readers move
+    to ``to`` when it is complete; the old folder is left alone."""
+    log = spark.read.parquet(path)
+    values = [c for c in log.columns if c not in (*keys, "batch")]
+    keep_one(log, list(keys), [F.desc("batch"), *[F.desc_nulls_last(c) for c in values]]).write.parquet(to)
+
+
 def _windowed(stream: DataFrame, ts: str, delay: str, width: str, keys: Sequence[str], aggs: Sequence, path: str, checkpoint: str) -> StreamingQuery:
     """Windowed sums in update mode: each batch appends the windows it changed. Rows later
     than ``delay`` behind the newest one are dropped, which also bounds the state. Windows

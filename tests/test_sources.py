@@ -38,8 +38,27 @@ def test_files_by_name_content_and_size(spark, tmp_path):
     named = readers.read_matching(spark, str(tmp_path), "csv", "asin string", "*.csv", ["raw_scrape", "Scraper_Data"])
     assert rows(named, "asin") == [("A",), ("B",)]
     targets = spark.createDataFrame([("A",)], "asin string")
-    assert rows(readers.files_holding(every, targets, "asin"), "file_name", "rows") == [("other.csv", 1), ("raw_scrape_1.csv", 1)]
-    assert rows(readers.files_by_row_count(every, [2])) == [("raw_scrape_1.csv", 2)]
+    base = f"file:{tmp_path}"
+    assert rows(readers.files_holding(every, targets, "asin"), "file", "rows") == [(f"{base}/other.csv", 1), (f"{base}/raw_scrape_1.csv", 1)]
+    assert rows(readers.files_by_row_count(every, [2])) == [(f"{base}/raw_scrape_1.csv", 2)]
+
+
+def test_files_of_equal_names_are_told_apart(spark, tmp_path):
+    for folder, ids in (("a", "AB"), ("b", "CDE")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "data.csv").write_text("asin\n" + "\n".join(ids) + "\n")
+    every = readers.read_matching(spark, f"{tmp_path}/*", "csv", "asin string")
+    assert [r.rows for r in readers.files_by_row_count(every, [2, 3]).orderBy("rows").collect()] == [2, 3]
+    assert readers.files_by_row_count(every, [5]).count() == 0
+
+
+def test_csv_keeps_quotes_commas_breaks_and_backslashes(spark, tmp_path):
+    titles = ['5" pan, "big"', "two\nlines", "back\\slash", '\\"', '"', "plain", None]
+    path = f"{tmp_path}/sheet"
+    writers.write_csv(spark.createDataFrame(list(enumerate(titles)), "id int, title string"), path)
+    assert rows(readers.read_sheet(spark, path, "id int, title string")) == rows(spark.createDataFrame(list(enumerate(titles)), "id int, title string"))
+    assert rows(readers.read_sheet_as_text(spark, path), "title") == rows(spark.createDataFrame([(t,) for t in titles], "title string"))
+    assert rows(readers.read_matching(spark, path, "csv", "id int, title string"), "title") == rows(spark.createDataFrame([(t,) for t in titles], "title string"))
 
 
 def test_sql_and_attached_snapshots(spark, tmp_path):
