@@ -53,13 +53,13 @@ def _(t):
     return jobs.current_status(t.spark, f"{base}/out", "user_id")
 
 
-def _ingest(t):
+def _ingest(t, by_month=False):
     base = scratch_path(t.spark, "ingest")
     raw = raw_reviews(t).withColumn("asin", F.concat(F.lit("S"), F.substring("asin", 2, 9)))
     writers.write_ndjson(raw, f"{base}/raw")
     stream = jobs.read_files(t.spark, f"{base}/raw", "json", raw.schema, "*.json")
     known = t.products.withColumn("asin", F.expr("IF(category = 'LARGE', 'X', '') || asin"))
-    _done(jobs.stream_ingest(stream, known, t.product_parents, f"{base}/reviews", f"{base}/parents", f"{base}/check"))
+    _done(jobs.stream_ingest(stream, known, t.product_parents, f"{base}/reviews", f"{base}/parents", f"{base}/check", by_month=by_month))
     return base
 
 
@@ -72,6 +72,11 @@ def _(t):
     return shown(t.spark.read.parquet(f"{_ingest(t)}/reviews"))
 
 
+@query("stream_ingest_by_month", QUERIES["stream_ingest"].oracle)
+def _(t):
+    return shown(t.spark.read.parquet(f"{_ingest(t, True)}/reviews"))
+
+
 @query("stream_ingest_parents", f"""SELECT * FROM (WITH {_EMPTY} SELECT DISTINCT parent_asin, 'unknown' AS category, 'Recovered Product: ' || parent_asin AS title FROM l
     WHERE parent_asin NOT IN (SELECT parent_asin FROM product_parents))""", ["clean_reviews", "reviews", "products", "product_parents"])
 def _(t):

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from reviewatlas.functions.frames import keep_one
 from reviewatlas.operators import clean, linkage, stats, tags
@@ -51,15 +51,33 @@ def read_files(spark: SparkSession, path: str, fmt: str, schema: StructType | st
     return reader.load(path)
 
 
+#: Partition column of a reviews table kept by month.
+MONTH = "review_month"
+
+
+def month_of(date: Column | str) -> Column:
+    return F.date_format(date, "yyyy-MM")
+
+
+def history(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
+    """The stored reviews of the months that occur in ``batch``; other partitions are not read. A list of months is short, whatever the table's size."""
+    schema = StructType([*SCHEMAS["reviews"].fields, StructField(MONTH, StringType())])
+    months = [r[0] for r in batch.select(month_of("review_date")).distinct().collect()]
+    return table(spark, path, schema).filter(F.col(MONTH).isin(months))
+
+
 def stream_ingest(
     raw: DataFrame, products: DataFrame, parents: DataFrame, reviews_path: str, parents_path: str, checkpoint: str,
-    dedup_delay: str | None = None,
+    dedup_delay: str | None = None, by_month: bool = False,
 ) -> StreamingQuery:
     """Raw review files to the reviews table: clean, link to the family, add unseen ids.
 
     Seen ids are excluded against the whole table, however old. ``dedup_delay`` drops repeats
     in the stream as well, within that delay of the file times, before the table is read.
     New families are appended as placeholders to ``parents_path``.
+
+    With ``by_month`` the reviews table is partitioned by the month of the review, and a batch reads the ids of its own months
+    only. It fits sources in which a review keeps its date; an id that returns under another month would be added again.
     """
     if dedup_delay:
         seen = raw.withColumn("_seen", F.col("_metadata.file_modification_time"))
@@ -68,14 +86,18 @@ def stream_ingest(
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        held = table(spark, reviews_path, "reviews")
+        held = history(spark, reviews_path, clean.clean_reviews(df)) if by_month else table(spark, reviews_path, "reviews")
         added = table(spark, parents_path, "product_parents")
         rows = clean.clean_reviews(df).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             known = parents.select("parent_asin").unionByName(added.select("parent_asin"))
             fresh, heads = linkage.link_reviews(rows, held, products, known, long_history=True)
             conform(heads, "product_parents").write.mode("append").parquet(parents_path)
-            conform(fresh, "reviews").write.mode("append").parquet(reviews_path)
+            new = conform(fresh, "reviews")
+            if by_month:
+                new.withColumn(MONTH, month_of("review_date")).write.mode("append").partitionBy(MONTH).parquet(reviews_path)
+            else:
+                new.write.mode("append").parquet(reviews_path)
         finally:
             rows.unpersist()
 

@@ -10,7 +10,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from reviewatlas.operators import stats
+from reviewatlas.plans import streams
 from reviewatlas.plans.fixtures import Tables
+from reviewatlas.schemas import conform
 from reviewatlas.streaming import jobs
 
 RAW = "reviewId string, asin string, variationId string, rating string, date string, text string"
@@ -92,3 +94,26 @@ def test_recalculation_touches_only_changed_families(spark, tmp_path):
     want = stats.product_stats(t.products, t.reviews, t.review_tags, t.aspect_mapping).filter(F.col("asin").isin("A000000010", "A000000020"))
     assert rows(stats.stats_json(got)) == rows(stats.stats_json(want))
     assert got.count() == 2
+
+
+def test_history_is_read_by_month_only(spark, tmp_path):
+    path = str(tmp_path / "reviews")
+    old = spark.createDataFrame([(f"r{m}", f"2020-{m:02d}-03") for m in range(1, 13)], "review_id string, d string")
+    old = conform(old.select("review_id", F.to_date("d").alias("review_date")), "reviews")
+    old.withColumn(jobs.MONTH, jobs.month_of("review_date")).write.partitionBy(jobs.MONTH).parquet(path)
+    batch = old.filter("review_id IN ('r2', 'r7')")
+    held = jobs.history(spark, path, batch)
+    assert rows(held, "review_id") == [("r2",), ("r7",)]
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [review_month" in plan and "2020-07" in plan and "2020-08" not in plan
+
+
+def test_tag_stream_chains_the_statistics_and_survives_a_replay(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    base = streams._tagged(t)
+    now = jobs.current_tags(spark, f"{base}/old", f"{base}/log")
+    assert now.count() == now.select("review_id", "tag_id").distinct().count()
+    saved = jobs.latest(spark.read.parquet(f"{base}/stats"), ["asin"])
+    touched = spark.read.parquet(f"{base}/log/done").select("review_id").distinct().join(t.reviews, "review_id").select(F.col("parent_asin").alias("asin")).distinct()
+    want = stats.product_stats(t.products, t.reviews, now, t.aspect_mapping, touched)
+    assert rows(stats.stats_json(saved)) == rows(stats.stats_json(want)) != []
