@@ -215,6 +215,12 @@ def user_requests(queue: DataFrame, k: int = 5) -> DataFrame:
     return top_k(rows, "requested_by", [F.desc("created_at"), F.asc("request_id")], k)
 
 
+# Notes on requests.
+UNKNOWN_NOTE = "[Unknown ASIN] Not in Product DB. Admin verify Parent."
+CHILD_NOTE, PARENT_NOTE = "[Auto-Map] Child ", " -> Parent "
+FORCED_NOTE, FORCED_DATE_NOTE = " | [Force Update Requested] Previous Data: ", " reviews, Last: "
+
+
 def triage_requests(requests: DataFrame, products: DataFrame, reviews: DataFrame, queue: DataFrame) -> DataFrame:
     """Decide every request (``request_id, asin, note, force``): map a child to its family, then
     accept it or name the reason against it (data exists, already queued)."""
@@ -234,13 +240,13 @@ def triage_requests(requests: DataFrame, products: DataFrame, reviews: DataFrame
         F.when(has_data & ~F.col("force"), "HAS_DATA").when(F.col("_q"), "ALREADY_QUEUED")
         .when(~known, "QUEUED_UNKNOWN").when(moved, "QUEUED_AS_PARENT").otherwise("QUEUED")
     )
-    remark = F.when(~known, "[Unknown ASIN] Not in Product DB. Admin verify Parent.").when(
-        moved, F.concat(F.lit("[Auto-Map] Child "), "asin", F.lit(" -> Parent "), "final_asin")
+    remark = F.when(~known, UNKNOWN_NOTE).when(
+        moved, F.concat(F.lit(CHILD_NOTE), "asin", F.lit(PARENT_NOTE), "final_asin")
     ).otherwise("")
     update = F.when(
         has_data & F.col("force"),
-        F.concat(F.lit(" | [Force Update Requested] Previous Data: "), F.col("reviews").cast("string"),
-                 F.lit(" reviews, Last: "), F.col("last_date").cast("string")),
+        F.concat(F.lit(FORCED_NOTE), F.col("reviews").cast("string"),
+                 F.lit(FORCED_DATE_NOTE), F.col("last_date").cast("string")),
     ).otherwise("")
     system = F.concat(remark, update)
     full = F.when(F.length("note") > 0, F.concat(system, F.lit(" | "), "note")).otherwise(system)

@@ -15,6 +15,19 @@ from reviewatlas.operators.upsert import (
     guarded, insert_missing, relink, retain_truth, unseen_rows, update_where, upsert,
 )
 
+# What generated rows say, and the words that repair the catalogue.
+RECOVERED_TITLE = "Recovered Product: "
+RECOVERED_BRAND = "Unknown"
+RECOVERED_STATUS = "UNCERTAIN"
+GENERATED_PARENT = "AUTO_GENERATED_PARENT"
+SHEET_TITLE = "Imported from Excel"
+DRINKWARE_NICHES = ["Tumblers", "Tumblers & Water Glasses", "Thermoses"]
+DRINKWARE_WORDS = ["tumbler", "water bottle"]
+DRAWING_WORDS = ["draw"]
+DRAWING_NICHE = "Drawing Books"
+STEEL_WORDS = ["stainless", "steel"]
+KIDS_WORDS = ["kids", "children"]
+
 
 def niche_rollup(products: DataFrame) -> DataFrame:
     """Distinct niches of a family joined with ', '. Duplicates are removed before the list is
@@ -61,8 +74,8 @@ def link_reviews(
     missing = unseen_rows(parents, families, ["parent_asin"], long_history)
     placeholders = missing.select(
         "parent_asin", F.lit("unknown").alias("category"),
-        F.concat(F.lit("Recovered Product: "), "parent_asin").alias("title"),
-        F.lit("Unknown").alias("brand"), F.lit("UNCERTAIN").alias("verification_status"),
+        F.concat(F.lit(RECOVERED_TITLE), "parent_asin").alias("title"),
+        F.lit(RECOVERED_BRAND).alias("brand"), F.lit(RECOVERED_STATUS).alias("verification_status"),
     )
     return fresh, placeholders
 
@@ -168,7 +181,7 @@ def ghost_parents(products: DataFrame) -> DataFrame:
     )
     first = keep_one(products.join(ghosts, "parent_asin", "left_semi"), "parent_asin", [F.asc("asin")])
     made = first.withColumn("asin", F.col("parent_asin"))
-    return made.withColumn("status_asin", F.lit("AUTO_GENERATED_PARENT"))
+    return made.withColumn("status_asin", F.lit(GENERATED_PARENT))
 
 
 def add_ghost_parents(products: DataFrame) -> DataFrame:
@@ -181,19 +194,19 @@ def add_ghost_parents(products: DataFrame) -> DataFrame:
 def repair_catalogue(products: DataFrame, parents: DataFrame, tumblers: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Category, brand, niche and attribute corrections over the whole catalogue."""
     title, category, niche = F.col("title"), F.col("category"), F.col("niche")
-    drinkware = niche.isin("Tumblers", "Tumblers & Water Glasses", "Thermoses") | C.any_keyword([title], ["tumbler", "water bottle"])
+    drinkware = niche.isin(*DRINKWARE_NICHES) | C.any_keyword([title], DRINKWARE_WORDS)
     named = F.col("parent_asin").isin(*tumblers) if tumblers else F.lit(False)
     fixed = update_where(parents, (F.coalesce(drinkware, F.lit(False)) & (category != "tumbler")) | named, category=F.lit("tumbler"))
     fixed = fixed.withColumn("brand", C.clean_brand("brand", "prefix"))
-    drawing = (category == "book") & ((niche == "unknown") | niche.isNull()) & C.any_keyword([title], ["draw"])
-    fixed = update_where(fixed, drawing, niche=F.lit("Drawing Books"))
+    drawing = (category == "book") & ((niche == "unknown") | niche.isNull()) & C.any_keyword([title], DRAWING_WORDS)
+    fixed = update_where(fixed, drawing, niche=F.lit(DRAWING_NICHE))
 
     families = fixed.select("parent_asin", F.col("category").alias("_cat"), F.col("niche").alias("_niche"), F.lit(True).alias("_hit"))
     joined = products.join(families, "parent_asin", "left")
-    steel = F.col("material").isNull() & (F.col("_cat") == "tumbler") & C.any_keyword([title], ["stainless", "steel"])
+    steel = F.col("material").isNull() & (F.col("_cat") == "tumbler") & C.any_keyword([title], STEEL_WORDS)
     joined = update_where(joined, steel, material=F.lit("Stainless Steel"))
     bare = F.col("material").isNull() | F.col("target_audience").isNull()
-    kids = bare & (F.col("_cat") == "book") & C.any_keyword([title], ["kids", "children"])
+    kids = bare & (F.col("_cat") == "book") & C.any_keyword([title], KIDS_WORDS)
     joined = update_where(joined, kids, material=F.lit("Paper"), target_audience=F.lit("Kids"))
     joined = joined.withColumn("brand", C.clean_brand("brand", "prefix"))
     synced = update_where(joined, F.col("_hit"), main_niche=F.col("_niche"))
@@ -271,7 +284,7 @@ def cleanup_orphans(products: DataFrame, parents: DataFrame, sheet: DataFrame) -
     )
     vague = ["unclassified", "Unknown"]
     refined = upsert(
-        parents, heads.withColumn("title", F.lit("Imported from Excel")), ["parent_asin"],
+        parents, heads.withColumn("title", F.lit(SHEET_TITLE)), ["parent_asin"],
         {"category": "overwrite", "brand": "overwrite", "niche": "overwrite"},
         only_if=lambda old: old["category"].isNull() | old["category"].isin(*vague),
     )

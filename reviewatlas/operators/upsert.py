@@ -142,6 +142,10 @@ def set_status(df: DataFrame, ids: DataFrame, key: str, status: str, column: str
     return relink(df, ids.select(key).withColumn("_to", F.lit(status)), key, "_to", column)
 
 
+# Notes on closed requests.
+FOUND_NOTE, FOUND_END, MISSING_NOTE = " [Found Parent: ", "]", " [Parent Not Found]"
+
+
 def advance_queue(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Close queue rows in progress. ``outcomes``: (asin, parent), parent null when not found."""
     found = outcomes.groupBy("asin").agg(F.max("parent").alias("_parent")).withColumn("_done", F.lit(True))
@@ -149,8 +153,8 @@ def advance_queue(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
     active = F.col("_done") & (F.col("status") == "IN_PROGRESS")
     status = F.when(F.col("_parent").isNotNull(), "COMPLETED").otherwise("FAILED")
     remark = F.when(
-        F.col("_parent").isNotNull(), F.concat(F.lit(" [Found Parent: "), F.col("_parent"), F.lit("]"))
-    ).otherwise(" [Parent Not Found]")
+        F.col("_parent").isNotNull(), F.concat(F.lit(FOUND_NOTE), F.col("_parent"), F.lit(FOUND_END))
+    ).otherwise(MISSING_NOTE)
     note = F.concat(F.coalesce("note", F.lit("")), remark)
     return update_where(joined, active, status=status, note=note).select(*queue.columns)
 

@@ -71,6 +71,7 @@ def analyze_competitors(t: Tables, asin: str) -> DataFrame:
     return _only(found, family_of(t, asin), "for_asin")
 
 
+# The tools' names.
 TOOLS: dict[str, Callable[..., DataFrame]] = {
     f.__name__: f
     for f in (
