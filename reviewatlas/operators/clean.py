@@ -86,16 +86,19 @@ def clean_reviews(raw: DataFrame, file: Column | None = None) -> DataFrame:
     return typed.filter(F.col("review_id").isNotNull() & F.col("review_date").isNotNull())
 
 
-def _file_of(df: DataFrame, file: Column | str | None) -> Column:
-    """What tells a row's file: the given column, else the path that readers carry. Rows without either form one file."""
+def _file_of(df: DataFrame, file: Column | str | None) -> Column | None:
+    """What tells a row's file: the given column, else the path that readers carry."""
     if file is not None:
         return F.col(file) if isinstance(file, str) else file
-    return F.col("_metadata.file_path") if "_metadata" in df.columns else F.lit(None).cast("string")
+    return F.col("_metadata.file_path") if "_metadata" in df.columns else None
 
 
 def _with_vote(df: DataFrame, file: Column | str | None, name: str, vote: Column) -> DataFrame:
-    """``df`` with an aggregate of each file, counted in one pass and joined back."""
-    placed = df.withColumn("_file", _file_of(df, file))
+    """``df`` with an aggregate of each file, counted in one pass and joined back. Without files it is one value."""
+    where = _file_of(df, file)
+    if where is None:
+        return df.withColumn(name, df.agg(vote).scalar())
+    placed = df.withColumn("_file", where)
     votes = placed.groupBy(F.col("_file").alias("_of")).agg(vote.alias(name))
     return placed.join(votes, F.col("_file").eqNullSafe(F.col("_of")), "left").drop("_file", "_of")
 
@@ -148,8 +151,10 @@ def clean_products(raw: DataFrame, hint: str | None = None, file: Column | str |
 
     The category is voted per file, so one call may read many files; ``file`` names the column that tells them apart where rows
     carry no ``_metadata``."""
-    where = raw.withColumn("_source", _file_of(raw, file)).drop("_metadata")
-    flat = with_category(lower_names(flatten_structs(where)), hint, file="_source", name="_category").drop("_source")
+    where = _file_of(raw, file)
+    if where is not None:
+        raw = raw.withColumn("_source", where).drop("_metadata")
+    flat = with_category(lower_names(flatten_structs(raw)), hint, file=None if where is None else "_source", name="_category").drop("_source")
     if "url" in flat.columns:
         flat = flat.withColumn("asin", F.coalesce(C.url_id("url"), F.col("asin")))
     mapped = map_product_headers(flat, F.col("_category"))
