@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewatlas.llm.common import written
+from reviewatlas.llm.common import bounded_sample, written
 from reviewatlas.session import scratch_path
 
 #: Fixed: magic numbers of the skippable frame that holds a dictionary and of a Zstandard frame; the profile of revisits.
@@ -40,9 +40,9 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from a bounded sample of pages; the end of their text where they are too few to learn from."""
-    small = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES))
-    rows = small.select("html").orderBy(F.xxhash64("page_id", "html")).limit(sample).collect()
-    texts = [r[0].encode() for r in rows]
+    small = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).select("page_id", "html", F.lit(0).alias("_all"))
+    rows = bounded_sample(small, "_all", "page_id", sample).select("page_id", "html").collect()
+    texts = [r["html"].encode() for r in sorted(rows)]
     try:
         return zstandard.train_dictionary(size, texts).as_bytes() if texts else b""
     except zstandard.ZstdError:
