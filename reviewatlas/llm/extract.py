@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewatlas.llm.common import slices
+from reviewatlas.llm.common import bounded_sample, slices
 
 #: Pages that the field is fitted on: so many, the first by a hash of the id, of at most so many characters and blocks.
 SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_BLOCKS = 300, 65536, 400
@@ -305,8 +305,9 @@ def labelled(pages: list[str], layouts: int = LAYOUTS) -> list[list[Block]]:
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> Field:
     """A field fitted on a bounded sample of ``pages`` (page_id, html). Without any labelled page it has no weights, and nothing is main text."""
-    rows = pages.where(F.length("html").between(1, chars)).select("html").orderBy(F.xxhash64("page_id"), "html").limit(sample).collect()
-    return fit_field(labelled([r[0] for r in rows]))
+    small = pages.where(F.length("html").between(1, chars)).select("page_id", "html", F.lit(0).alias("_all"))
+    rows = bounded_sample(small, "_all", "page_id", sample).select("page_id", "html").collect()
+    return fit_field(labelled([r["html"] for r in sorted(rows)]))
 
 
 class Extractor:
