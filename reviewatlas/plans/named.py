@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from reviewatlas.plans import comparing, evidence, tools  # noqa: F401
-from reviewatlas.plans.fixtures import sql
 from reviewatlas.plans.registry import QUERIES, Query, query
 
 CHILD, PARENT, OTHER = "A000000012", "A000000010", "A000000017"
