@@ -77,14 +77,14 @@ def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
     return rows.select("doc_id", "host", "body", "at", "x.line", "x.n")
 
 
-def frequent_lines(lines: DataFrame, docs: DataFrame, host: str = "source", min_docs: int = 20, min_percent: float = 0.2, max_line_words: int = 30) -> DataFrame:
+def frequent_lines(lines: DataFrame, docs: DataFrame, host: str = "source", min_docs: int = 20, min_percent: float = 0.2) -> DataFrame:
     """(line, host, n_docs): lines above the limits.
 
     A line is above them in a host if ``min_docs`` or more documents of the host with different texts hold it, and these are
-    ``min_percent`` or more of the host's different texts. Copies of a text count as one document. Lines of over
-    ``max_line_words`` words are passages, which the substring stage treats; they are no boilerplate. Rows without a host form one host.
+    ``min_percent`` or more of the host's different texts. Copies of a text count as one document. Lines of every
+    length count. Rows without a host form one host.
     """
-    counts = lines.where(F.col("n") <= max_line_words).groupBy("line", "host").agg(F.count_distinct("body").alias("n_docs"))
+    counts = lines.groupBy("line", "host").agg(F.count_distinct("body").alias("n_docs"))
     hosts = docs.select(F.col(host).alias("h"), F.xxhash64("text").alias("body")).groupBy("h").agg(F.count_distinct("body").alias("n_host"))
     above = counts.where(F.col("n_docs") >= min_docs).join(hosts, F.col("host").eqNullSafe(F.col("h")))
     return above.where(100 * F.col("n_docs") >= min_percent * F.col("n_host")).select("line", "host", "n_docs")

@@ -95,3 +95,14 @@ def test_clashing_columns_and_an_empty_table(spark, frame):
     assert [r.n_words for r in quality.verdicts(extra).collect()] == [60]
     assert quality.cleaned(extra).count() == 0
     assert quality.verdicts(frame([], DOCS)).count() == 0
+
+
+def test_long_lines_are_counted_and_removed(spark, frame):
+    rng = random.Random(4)
+    for n in (31, 45, 60):
+        notice = sentence(rng, n)
+        rows = [(i, f"{sentence(rng, 40)}\n{notice}\n{sentence(rng, 40)}", "en", "a", 1) for i in range(25)]
+        rows.append((100, f"{notice}\n{sentence(rng, 20)}", "en", "a", 1))
+        got = {r.doc_id: (r.removed_words, r.kept) for r in quality.verdicts(spread(frame, rows)).collect()}
+        assert got == {i: (n, True) for i in range(25)} | {100: (n, False)}
+        assert not any(notice in r.text for r in quality.cleaned(spread(frame, rows)).collect())
