@@ -29,16 +29,21 @@ from reviewatlas.llm.common import mixed, seeds, slices
 
 #: Edits allowed per item word; walks; samples of each walk; places in a sample.
 RATIO, WALKS, SAMPLES, PLACES = 0.2, 3, 8, 4
-#: Shorter items are common phrases.
+#: Shorter items are found by exact pieces instead of walks.
 MIN_ITEM_WORDS = 8
 #: Items are shipped to the tasks in blocks of at most so many characters.
 BLOCK_CHARS = 16_000_000
 
 WORDS = re.compile(r"\w+")
+#: Scripts without spaces (Thai to Myanmar, Khmer, kana, Han): each letter is a word.
+SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+ANY_SPACELESS, LETTERS = re.compile(f"[{SPACELESS}]"), re.compile(rf"[^\W{SPACELESS}]+|(?=\w)[{SPACELESS}]")
 
 
 def item_words(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return (WORDS if text.isascii() or not ANY_SPACELESS.search(text) else LETTERS).findall(text.lower())
 
 
 def edit_end(pattern: list[str], text: list[str]) -> tuple[int, int]:
@@ -145,22 +150,65 @@ class SizeGroup:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), dtype=np.int64)
 
 
+class ShortItems:
+    """Items of few words: of d + 1 pieces of an item with at most d edits one stands in the text as it is."""
+
+    def __init__(self, items: list[tuple[int, list[int]]], ratio: float):
+        pieces = defaultdict(list)
+        for item, w in items:
+            n = int(len(w) * ratio) + 1
+            for i in range(n):
+                a, b = len(w) * i // n, len(w) * (i + 1) // n
+                pieces[b - a].append((item, a, w[a:b]))
+        self.tables = []
+        for length, own in sorted(pieces.items()):
+            flat = np.array([w for *_, w in own], dtype=np.int64).ravel()
+            keys = self.keys(flat, np.arange(0, len(flat), length), length)
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((length, keys[order], np.array([(item, a) for item, a, _ in own], dtype=np.int64)[order]))
+
+    @staticmethod
+    def keys(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+        key = np.zeros(len(at), dtype=np.uint64)
+        for k in range(length):
+            key = mixed(key * np.uint64(0x100000001B3) + words[at + k].astype(np.uint64))
+        return key
+
+    def candidates(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """As in ``SizeGroup``."""
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        for length, table, owner in self.tables:
+            at = np.arange(len(words))
+            at = at[at + length <= ends]
+            keys = self.keys(words, at, length)
+            low, high = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
+            n = high - low
+            entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.column_stack([np.repeat(at, n), owner[entry]]))
+        return np.unique(np.concatenate(found), axis=0)
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
     def __init__(self, items: list[tuple[object, str | None]], ratio: float = RATIO, min_item_words: int = MIN_ITEM_WORDS):
         split = [(key, item_words(text)) for key, text in items]
-        self.items = [(key, w) for key, w in split if len(w) >= min_item_words]
+        self.items = [(key, w) for key, w in split if w]
         self.vocabularies = [frozenset(w) for _, w in self.items]
         self.ratio = ratio
         self.ids: dict[str, int] = {}
         for _, w in self.items:
             for word in w:
                 self.ids.setdefault(word, len(self.ids) + 1)
-        groups = defaultdict(list)
+        groups, short = defaultdict(list), []
         for i, (_, w) in enumerate(self.items):
+            if len(w) < min_item_words:
+                short.append((i, [self.ids[x] for x in w]))
+                continue
             groups[round(math.log(len(w), 1.25))].append((i, [self.ids[x] for x in w]))
         self.groups = [SizeGroup(g, len(self.ids) + 1, ratio, k) for k, g in sorted(groups.items())]
+        if short:
+            self.groups.append(ShortItems(short, ratio))
 
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text its matches (item key, start, end, distance, item words), in words of the text."""
@@ -226,7 +274,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
 
     ``start`` and ``end`` (outside) count the document's words. Of overlapping matches with one item the closest counts, then the
     first. Null and empty texts have no match; a null doc_id or item_id is carried; repeated rows repeat
-    their matches; repeated items count once; items below MIN_ITEM_WORDS words are skipped; an empty table on
+    their matches; repeated items count once; items of any length are sought, each letter of a script without spaces is a word; an empty table on
     either side gives no rows. Other columns are ignored.
     """
     schema = "doc_id long, item_id long, start long, end long, distance long, item_words long"

@@ -106,3 +106,20 @@ def test_odd_items_and_empty_tables(spark, frame):
     assert [tuple(r)[:5] for r in decontam.matches(hit, odd).collect()] == [(1, 4, 1, 11, 0)]
     assert decontam.matches(docs, frame([], ITEMS)).count() == 0
     assert decontam.uncontaminated(frame([], DOCS), odd).count() == 0
+
+
+def test_short_items_and_scripts_without_spaces_are_found():
+    items = [(1, "Who wrote Hamlet?"), (2, "What is the capital of France?"), (3, "世界上最高的山是什么山"), (4, "eight nine"), (5, "Zebra")]
+    find = lambda text: [m[:4] for m in decontam.Matcher(items).find([text])[0]]
+    assert find("say: who wrote hamlet, then") == [(1, 1, 4, 0)]
+    assert find("who wrote the hamlet") == [] and find("eight then nine") == [] and find("nine eight") == []
+    assert find("what is the big capital of france now") == [(2, 0, 7, 1)]
+    assert find("x what is capital of france") == [(2, 1, 6, 1)]
+    assert find("请问世界上最高的山是什么山呢") == [(3, 2, 13, 0)]
+    assert find("a zebra") == [(5, 1, 2, 0)] and find("") == []
+    rng = random.Random(12)
+    for _ in range(300):
+        words = [rng.choice("abcd") for _ in range(rng.randrange(1, 8))]
+        text = [rng.choice("abcdef") for _ in range(rng.randrange(12))]
+        got = decontam.Matcher([(1, " ".join(words))]).find([" ".join(text)])[0]
+        assert bool(got) == (plain_distance(words, text) <= int(len(words) * 0.2))
