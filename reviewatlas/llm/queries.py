@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewatlas.llm import compression, decontam, extract, langid, mixing, oracles, passages, periodic, quality, simhash, urls, warc
+from reviewatlas.llm import compression, decontam, extract, langid, mixing, oracles, passages, periodic, quality, simhash, urls, warc, whitening
 from reviewatlas.llm.common import let, table, word_array
 
 
@@ -94,6 +94,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": op9_url_filter,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_periodic_runs": op11_periodic_runs,
+        "op13_whitening": op13_whitening,
     }
 
 
