@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewatlas.llm import compression, decontam, extract, langid, mixing, oracles, passages, periodic, quality, simhash, urls, warc, whitening
+from reviewatlas.llm import compression, decontam, extract, langid, mixing, oracles, passages, periodic, quality, secrets, simhash, urls, warc, whitening
 from reviewatlas.llm.common import let, table, word_array
 
 
@@ -94,6 +94,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(secrets.labelled(docs)))
+    base = F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base, secrets.listed(F.col("spans")).alias("spans"), "n_markov")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -111,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": op9_url_filter,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_secret_scan": op12_secret_scan,
         "op13_whitening": op13_whitening,
     }
 
