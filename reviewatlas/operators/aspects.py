@@ -53,6 +53,11 @@ def aspect_counts(tags: DataFrame, mapping: DataFrame, match: str = "exact") ->
             F.expr(f"count_if({IS_NEGATIVE})").alias("negative"),
         )
     )
+    return resolved_counts(raw, mapping, match)
+
+
+def resolved_counts(raw: DataFrame, mapping: DataFrame, match: str = "exact") -> DataFrame:
+    """Counts per (family, raw aspect) as counts per (family, aspect)."""
     return (
         resolve_aspects(raw, mapping, match)
         .groupBy("parent_asin", "aspect")
@@ -62,9 +67,12 @@ def aspect_counts(tags: DataFrame, mapping: DataFrame, match: str = "exact") ->
 
 def aspect_mentions(tags: DataFrame, mapping: DataFrame, match: str = "exact", min_n: int = 2, k: int = 15) -> DataFrame:
     """Top aspects of every product by positive + negative mentions."""
+    return top_mentions(aspect_counts(tags, mapping, match), min_n, k)
+
+
+def top_mentions(counts: DataFrame, min_n: int = 2, k: int = 15) -> DataFrame:
     total = F.col("positive") + F.col("negative")
-    counts = aspect_counts(tags, mapping, match).filter(total >= min_n)
-    return top_k(counts.drop("mentions"), "parent_asin", [total.desc(), F.asc("aspect")], k)
+    return top_k(counts.filter(total >= min_n).drop("mentions"), "parent_asin", [total.desc(), F.asc("aspect")], k)
 
 
 def top_aspects(tags: DataFrame, mapping: DataFrame, sentiment: str, match: str = "exact", k: int = 3) -> DataFrame:

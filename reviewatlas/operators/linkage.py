@@ -67,8 +67,10 @@ def link_reviews(
     linked = raw.withColumn("_key", child).join(known, F.col("_key") == F.col("_child"), "left").withColumn(
         "parent_asin", F.coalesce("_parent", "parent_asin")
     ).drop("_key", "_child", "_parent")
-    # copies go first, inside the map tasks; the anti join reuses their partitioning
-    order = [F.col(c).asc_nulls_last() for c in linked.columns if c != "review_id"]
+    # copies go first, inside the map tasks; the anti join reuses their partitioning. Long texts are compared by their hash
+    texts = [c for c in ("title", "text") if c in linked.columns]
+    order = [F.col(c).asc_nulls_last() for c in linked.columns if c not in ("review_id", *texts)]
+    order += [F.xxhash64(*texts).asc()] if texts else []
     fresh = unseen_rows(reviews, keep_one(linked, "review_id", order), ["review_id"], long_history)
     families = linked.filter(F.col("parent_asin").isNotNull()).select("parent_asin").distinct()
     missing = unseen_rows(parents, families, ["parent_asin"], long_history)

@@ -27,6 +27,11 @@ def product_kpis(products: DataFrame, reviews: DataFrame) -> DataFrame:
         F.avg("rating_score").alias("avg_score"),
         F.count_distinct("child_asin").alias("children"),
     )
+    return kpis_of(products, sample)
+
+
+def kpis_of(products: DataFrame, sample: DataFrame) -> DataFrame:
+    """``sample`` has n, avg_score and children of each family."""
     official = products.select(
         "asin", F.col("parent_asin").alias("family"), "real_total_ratings", "real_average_rating",
         "variation_count", breakdown_map("rating_breakdown").alias("bd"),
@@ -82,6 +87,11 @@ def live_kpis(parents: DataFrame, products: DataFrame) -> DataFrame:
 def population(products: DataFrame, reviews: DataFrame) -> DataFrame:
     """Per family: total ratings in the market and the real reviews behind each star,
     with the sample counts (``n1``..``n5``, ``real1``..``real5``)."""
+    return population_of(products, sample_counts(reviews))
+
+
+def population_of(products: DataFrame, counts: DataFrame) -> DataFrame:
+    """``counts`` as from ``sample_counts``."""
     bd = F.col("bd")
     official = products.select(
         F.col("asin").alias("parent_asin"), "real_total_ratings", breakdown_map("rating_breakdown").alias("bd")
@@ -94,8 +104,7 @@ def population(products: DataFrame, reviews: DataFrame) -> DataFrame:
         return F.when(bd.isNull(), F.col("real_total") / 5.0).otherwise(share).alias(f"real{star}")
 
     return (
-        sample_counts(reviews)
-        .join(official, "parent_asin", "left")
+        counts.join(official, "parent_asin", "left")
         .withColumn("real_total", total)
         .select("parent_asin", "real_total", *[f"n{s}" for s in STARS], *[real(s) for s in STARS])
     )
@@ -108,6 +117,10 @@ def _star_counts(tags: DataFrame, reviews: DataFrame, mapping: DataFrame, match:
         F.count_if((F.col("star") == s) & F.expr(aspects.IS_POSITIVE)).alias(f"p{s}") for s in STARS
     ] + [F.count_if(F.col("star") == s).alias(f"c{s}") for s in STARS]
     raw = starred.groupBy("parent_asin", F.col("aspect").alias("raw_aspect")).agg(*columns)
+    return resolved_stars(raw, mapping, match)
+
+
+def resolved_stars(raw: DataFrame, mapping: DataFrame, match: str) -> DataFrame:
     names = [f"{x}{s}" for x in "pc" for s in STARS]
     return (
         aspects.resolve_aspects(raw, mapping, match)
@@ -124,8 +137,12 @@ def estimated_impact(
     A mention at a star stands for (real reviews / sampled reviews) customers at that star.
     Neutral mentions add to the negative side. Values are truncated toward zero.
     """
-    counts = _star_counts(tags, reviews, mapping, "exact")
-    joined = counts.join(population(products, reviews), "parent_asin")
+    return impact_of(_star_counts(tags, reviews, mapping, "exact"), population(products, reviews), k)
+
+
+def impact_of(counts: DataFrame, people: DataFrame, k: int | None = 20) -> DataFrame:
+    """``counts``: p1..p5 and c1..c5 of each family and aspect; ``people`` as from ``population``."""
+    joined = counts.join(people, "parent_asin")
 
     def estimate(count: Column, star: int) -> Column:
         rate = count / F.col(f"n{star}")
@@ -222,24 +239,27 @@ def product_stats(
         reviews = reviews.join(wanted, "parent_asin", "left_semi")
         tags = tags.join(wanted, "parent_asin", "left_semi")
 
+    return document(
+        product_kpis(products, reviews), aspects.aspect_mentions(tags, mapping, "exact", 2, 15),
+        estimated_impact(products, reviews, tags, mapping), rating_trend(reviews),
+    )
+
+
+def document(kpi: DataFrame, mentions: DataFrame, impact: DataFrame, trend: DataFrame) -> DataFrame:
+    """One row per family of ``kpi``; the others become arrays, bounded per family: top-k rows, or one row per calendar month."""
+
     def gathered(df: DataFrame, sort: list[str], name: str) -> DataFrame:
-        """Bounded per family: top-k rows, or one row per calendar month."""
         values = [c for c in df.columns if c not in ("parent_asin", *sort)]
         sorted_rows = F.array_sort(F.collect_list(F.struct(*sort, *values)))
         return df.groupBy(F.col("parent_asin").alias("asin")).agg(sorted_rows.alias(name))
 
-    raw = aspects.aspect_mentions(tags, mapping, "exact", 2, 15).select(
-        "parent_asin", (-(F.col("positive") + F.col("negative"))).alias("key"), "aspect", "positive", "negative"
-    )
-    weighted = estimated_impact(products, reviews, tags, mapping).withColumn("key", -F.col("total_impact_vol")).withColumn(
-        "key2", -F.col("net_impact")
-    )
-    kpi = product_kpis(products, reviews)
+    raw = mentions.select("parent_asin", (-(F.col("positive") + F.col("negative"))).alias("key"), "aspect", "positive", "negative")
+    weighted = impact.withColumn("key", -F.col("total_impact_vol")).withColumn("key2", -F.col("net_impact"))
     return (
         kpi.select("asin", F.struct(*[c for c in kpi.columns if c != "asin"]).alias("kpis"))
         .join(gathered(raw, ["key", "aspect"], "sentiment_raw"), "asin", "left")
         .join(gathered(weighted, ["key", "key2", "aspect"], "sentiment_weighted"), "asin", "left")
-        .join(gathered(rating_trend(reviews), ["month"], "rating_trend"), "asin", "left")
+        .join(gathered(trend, ["month"], "rating_trend"), "asin", "left")
     )
 
 

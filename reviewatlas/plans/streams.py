@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reviewatlas.operators import partials
 from reviewatlas.operators.clean import clean_reviews
 from reviewatlas.plans.cleaning import REVIEW_COLUMNS, shown
 from reviewatlas.plans.linking import _LINKED
@@ -77,6 +78,58 @@ def _(t):
     return shown(t.spark.read.parquet(f"{_ingest(t, True)}/reviews"))
 
 
+_INDEXED = _LINKED + """, f AS (SELECT *, CASE WHEN rating_score <= 2 THEN 1 WHEN rating_score <= 4 THEN 2 ELSE 3 END AS delivery FROM l)"""
+
+
+@query("stream_ingest_indexed", f"""SELECT * EXCLUDE (delivery) FROM (WITH {_INDEXED} SELECT * FROM f WHERE review_id NOT IN (SELECT review_id FROM stored)
+    QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY delivery, {', '.join(c + ' NULLS LAST' for c in REVIEW_COLUMNS[1:])}) = 1)""", ["clean_reviews", "reviews", "products"])
+def _(t):
+    """Three deliveries into a filled table; ids come again in other deliveries and under other months."""
+    base = scratch_path(t.spark, "indexed")
+    raw = raw_reviews(t).withColumn("asin", F.concat(F.lit("S"), F.substring("asin", 2, 9)))
+    score = F.coalesce(F.regexp_extract("rating", r"(\d+\.?\d*)", 1).try_cast("double"), F.lit(0.0))
+    known = t.products.withColumn("asin", F.expr("IF(category = 'LARGE', 'X', '') || asin"))
+    stored = t.reviews.withColumn("review_id", F.expr("IF(helpful_count > 4, '', 'old') || review_id"))
+    jobs.add_to_index(stored, f"{base}/index", -1, 16)
+    for part in (score <= 2, (score > 2) & (score <= 4), score > 4):
+        writers.write_ndjson(raw.filter(part), f"{base}/raw", mode="append")
+        stream = jobs.read_files(t.spark, f"{base}/raw", "json", raw.schema, "*.json")
+        paths = [f"{base}/{p}" for p in ("reviews", "parents", "check")]
+        _done(jobs.stream_ingest(stream, known, t.product_parents, *paths, index=f"{base}/index", n=16))
+    return shown(t.spark.read.parquet(f"{base}/reviews"))
+
+
+@query("stream_metrics", _DOCUMENT.format(mentions=_mentions_sql("tags_exact", 2, 15), where="WHERE k.asin IN (SELECT parent_asin FROM reviews)"), ["kpis", "tags_exact", "impact", "reviews"])
+def _(t):
+    """Reviews and tags in several batches; the first reviews had other tags, which are replaced. Only changes are added up."""
+    base = scratch_path(t.spark, "metrics")
+    reviews, n = t.reviews, 16
+    tagged = partials.starred(t.review_tags, reviews)
+    early = reviews.filter("helpful_count <= 3").select("review_id")
+    first = tagged.join(early, "review_id", "left_semi")
+    wrong = first.withColumns({"aspect": F.concat(F.lit("old "), "aspect"), "sentiment": F.when(F.col("sentiment") == "Positive", "Negative").otherwise("Positive")})
+    columns = ["review_id", "tag_id", "parent_asin", "aspect", "sentiment", "star"]
+    batches = [(reviews.filter("helpful_count <= 3"), wrong), (reviews.filter("helpful_count > 3"), tagged.join(early, "review_id", "left_anti")), (None, first)]
+    paths = [f"{base}/{p}" for p in ("review_parts", "tag_parts")]
+    for new, tags in batches:
+        if new is not None:
+            new.select("review_id", "parent_asin", "child_asin", "review_date", "rating_score").write.mode("append").parquet(f"{base}/reviews")
+        # all tags of a review in one file, so in one batch
+        tags.select(*columns).repartition(2, "review_id").write.mode("append").parquet(f"{base}/tags")
+        of = "review_id string, parent_asin string, child_asin string, review_date date, rating_score double"
+        _done(jobs.stream_review_parts(jobs.read_files(t.spark, f"{base}/reviews", "parquet", of, "*.parquet"), paths[0], f"{base}/check1", n))
+        stream = jobs.read_files(t.spark, f"{base}/tags", "parquet", tagged.select(*columns).schema, "*.parquet", per_batch=1)
+        _done(jobs.stream_tag_parts(stream, f"{base}/tag_log", paths[1], f"{base}/check2", n))
+        _done(jobs.stream_documents(t.spark, *paths, t.products, t.aspect_mapping, f"{base}/documents", f"{base}/check3", n))
+    return _flat_document(jobs.latest(t.spark.read.parquet(f"{base}/documents"), ["asin"]))
+
+
+@query("metrics_from_partials", QUERIES["metrics_document"].oracle)
+def _(t):
+    parts = partials.review_parts(t.reviews), partials.tag_parts(partials.starred(t.review_tags, t.reviews))
+    return _flat_document(partials.document(t.products, *parts, t.aspect_mapping))
+
+
 @query("stream_ingest_parents", f"""SELECT * FROM (WITH {_EMPTY} SELECT DISTINCT parent_asin, 'unknown' AS category, 'Recovered Product: ' || parent_asin AS title FROM l
     WHERE parent_asin NOT IN (SELECT parent_asin FROM product_parents))""", ["clean_reviews", "reviews", "products", "product_parents"])
 def _(t):

@@ -16,9 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from reviewatlas.functions.frames import keep_one
-from reviewatlas.operators import clean, linkage, stats, tags
+from reviewatlas.operators import buckets, clean, linkage, partials, stats, tags
 from reviewatlas.operators.upsert import latest_status
 from reviewatlas.schemas import SCHEMAS, conform
+from reviewatlas.sources.writers import overwrite_partitions
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -66,9 +67,40 @@ def history(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
     return table(spark, path, schema).filter(F.col(MONTH).isin(months))
 
 
+#: Partition column of tables that a repeated batch replaces its own part of.
+BATCH = "batch"
+_INGESTED = StructType([*SCHEMAS["reviews"].fields, StructField(MONTH, StringType()), StructField(BATCH, LongType())])
+#: What an id index holds of a review: where it is stored, and what its tags need.
+INDEX = f"review_id string, parent_asin string, star int, {MONTH} string"
+
+
+def log_part(rows: DataFrame, path: str, keys: Sequence[str], number: int, n: int) -> None:
+    """Write the part of a batch in a log by bucket and batch. The same batch again replaces it."""
+    placed = rows.withColumns({buckets.BUCKET: buckets.bucket_of(keys, n), BATCH: F.lit(number).cast("bigint")})
+    overwrite_partitions(placed.hint("rebalance", buckets.BUCKET), path, [buckets.BUCKET, BATCH])
+
+
+def read_log(spark: SparkSession, path: str, ddl: str, only: Sequence[int] | None = None, before: int | None = None) -> DataFrame:
+    """The rows of such a log: those of the given buckets, and of batches before one."""
+    rows = table(spark, path, f"{ddl}, {buckets.BUCKET} int, {BATCH} bigint")
+    if only is not None:
+        rows = rows.filter(F.col(buckets.BUCKET).isin(list(only)))
+    return rows.filter(F.col(BATCH) < before) if before is not None else rows
+
+
+def add_to_index(reviews: DataFrame, index: str, number: int, n: int = buckets.BUCKETS) -> None:
+    rows = reviews.select("review_id", "parent_asin", partials.star().alias("star"), month_of("review_date").alias(MONTH))
+    log_part(rows, index, ["review_id"], number, n)
+
+
+def known_ids(spark: SparkSession, index: str, rows: DataFrame, n: int = buckets.BUCKETS, before: int | None = None) -> DataFrame:
+    """The index entries of the buckets that ``rows`` touch, of earlier batches."""
+    return read_log(spark, index, INDEX, buckets.touched(rows, ["review_id"], n), before)
+
+
 def stream_ingest(
     raw: DataFrame, products: DataFrame, parents: DataFrame, reviews_path: str, parents_path: str, checkpoint: str,
-    dedup_delay: str | None = None, by_month: bool = False,
+    dedup_delay: str | None = None, by_month: bool = False, index: str | None = None, n: int = buckets.BUCKETS,
 ) -> StreamingQuery:
     """Raw review files to the reviews table: clean, link to the family, add unseen ids.
 
@@ -78,23 +110,35 @@ def stream_ingest(
 
     With ``by_month`` the reviews table is partitioned by the month of the review, and a batch reads the ids of its own months
     only. It fits sources in which a review keeps its date; an id that returns under another month would be added again.
+
+    With ``index``, the path of an id index (``indexed``), the reviews are partitioned by month and batch, and a batch reads the index for the
+    buckets of its ids only: whatever month an id returns under, it is known. The reviews of a batch, then its part of
+    the index are written as partitions of their own, so a batch that is repeated replaces what it wrote and ignores it as history.
     """
     if dedup_delay:
         seen = raw.withColumn("_seen", F.col("_metadata.file_modification_time"))
         key = next(c for c in raw.columns if c.lower() == clean.REVIEW_FIELDS["review_id"])
         raw = seen.withWatermark("_seen", dedup_delay).dropDuplicatesWithinWatermark([key])
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        held = history(spark, reviews_path, clean.clean_reviews(df)) if by_month else table(spark, reviews_path, "reviews")
         added = table(spark, parents_path, "product_parents")
         rows = clean.clean_reviews(df).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            if index:
+                held = known_ids(spark, index, rows, n, before=number)
+            else:
+                held = history(spark, reviews_path, rows) if by_month else table(spark, reviews_path, "reviews")
             known = parents.select("parent_asin").unionByName(added.select("parent_asin"))
             fresh, heads = linkage.link_reviews(rows, held, products, known, long_history=True)
             conform(heads, "product_parents").write.mode("append").parquet(parents_path)
             new = conform(fresh, "reviews")
-            if by_month:
+            if index:
+                overwrite_partitions(new.withColumns({MONTH: month_of("review_date"), BATCH: F.lit(number).cast("bigint")}), reviews_path, [MONTH, BATCH])
+                months = [r[0] for r in rows.select(month_of("review_date")).distinct().collect()]
+                written = table(spark, reviews_path, _INGESTED).filter(F.col(MONTH).isin(months) & (F.col(BATCH) == number))
+                add_to_index(written, index, number, n)
+            elif by_month:
                 new.withColumn(MONTH, month_of("review_date")).write.mode("append").partitionBy(MONTH).parquet(reviews_path)
             else:
                 new.write.mode("append").parquet(reviews_path)
@@ -133,6 +177,82 @@ def stream_stats(
     return _start(changes, batch, checkpoint)
 
 
+def stream_review_parts(reviews: DataFrame, path: str, checkpoint: str, n: int = buckets.BUCKETS) -> StreamingQuery:
+    """New reviews to signed partial sums, by family. A batch reads its own rows only."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        log_part(partials.review_parts(df), path, ["parent_asin"], number, n)
+
+    return _start(reviews, batch, checkpoint)
+
+
+_TAGGED = "review_id string, tag_id string, parent_asin string, aspect string, sentiment string, star int"
+
+
+def stream_tag_parts(tagged: DataFrame, tags_log: str, path: str, checkpoint: str, n: int = buckets.BUCKETS) -> StreamingQuery:
+    """Tags of covered reviews (columns of ``_TAGGED``) to signed partial sums: a review's new tags count up, those it had count down.
+
+    All tags of a review come in one batch; a row without an aspect only says that the review is covered. A batch reads the log of tags
+    for the buckets of its reviews, earlier batches only, so it gives the same sums when it is repeated.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        rows = df.select(*[c.split()[0] for c in _TAGGED.split(", ")]).dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            done = rows.select("review_id").dropna().distinct()
+            stored = read_log(spark, tags_log, _TAGGED, buckets.touched(done, ["review_id"], n), number).join(done, "review_id", "left_semi")
+            newest = stored.groupBy("review_id").agg(F.max(BATCH).alias(BATCH))
+            gone = stored.join(newest, ["review_id", BATCH], "left_semi")
+            change = partials.tag_parts(rows.dropna(subset=["aspect"])).unionByName(partials.tag_parts(gone.dropna(subset=["aspect"]), -1))
+            log_part(partials.added(change, partials.TAG_KEYS, partials.TAG_SUMS), path, ["parent_asin"], number, n)
+            log_part(rows.dropna(subset=["review_id"]), tags_log, ["review_id"], number, n)
+        finally:
+            rows.unpersist()
+
+    return _start(tagged, batch, checkpoint)
+
+
+def documents(
+    spark: SparkSession, review_parts: str, tag_parts: str, products: DataFrame, mapping: DataFrame, families: DataFrame | None = None, n: int = buckets.BUCKETS
+) -> DataFrame:
+    """Metrics documents from the partial sums, of the given families (column ``parent_asin``): reads the buckets of those only."""
+    only = None if families is None else buckets.touched(families, ["parent_asin"], n)
+    reviews = read_log(spark, review_parts, partials.REVIEW_SCHEMA, only)
+    tagged = read_log(spark, tag_parts, partials.TAG_SCHEMA, only)
+    if families is not None:
+        wanted = families.select("parent_asin").dropna().distinct()
+        reviews, tagged = reviews.join(wanted, "parent_asin", "left_semi"), tagged.join(wanted, "parent_asin", "left_semi")
+        products = products.join(wanted.withColumnRenamed("parent_asin", "asin"), "asin", "left_semi")
+    return partials.document(
+        products, partials.added(reviews, partials.REVIEW_KEYS, partials.REVIEW_SUMS), partials.added(tagged, partials.TAG_KEYS, partials.TAG_SUMS), mapping
+    )
+
+
+def stream_documents(
+    spark: SparkSession, review_parts: str, tag_parts: str, products: DataFrame, mapping: DataFrame, path: str, checkpoint: str, n: int = buckets.BUCKETS
+) -> StreamingQuery:
+    """New documents of the families whose partial sums changed, chained behind the two jobs above: their logs are its input."""
+    logs = [
+        spark.readStream.schema(f"{ddl}, {buckets.BUCKET} int, {BATCH} bigint").parquet(p).select("parent_asin")
+        for p, ddl in ((review_parts, partials.REVIEW_SCHEMA), (tag_parts, partials.TAG_SCHEMA))
+    ]
+
+    def batch(df: DataFrame, number: int) -> None:
+        fresh = documents(df.sparkSession, review_parts, tag_parts, products, mapping, df.distinct(), n)
+        fresh.withColumn(BATCH, F.lit(number).cast("bigint")).write.mode("append").parquet(path)
+
+    return _start(logs[0].union(logs[1]), batch, checkpoint)
+
+
+def compact_parts(spark: SparkSession, path: str, ddl: str, keys: Sequence[str], sums: Sequence[str], to: str, n: int = buckets.BUCKETS) -> None:
+    """Add up a log of partial sums into a new one of one batch, numbered as the newest. Readers move to ``to`` when it is complete."""
+    log = read_log(spark, path, ddl)
+    newest = log.agg(F.max(BATCH)).first()[0]
+    if newest is not None:
+        log_part(partials.added(log, list(keys), list(sums)), to, ["parent_asin"], newest, n)
+
+
 def current_tags(spark: SparkSession, tags_path: str, log_path: str) -> DataFrame:
     """Tags after ``stream_tags``: of a review that a response covered the tags of its newest batch, else the stored ones."""
     done = table(spark, f"{log_path}/done", "review_id string, batch bigint").groupBy("review_id").agg(F.max("batch").alias("batch"))
