@@ -34,7 +34,7 @@ def query(name: str, oracle: str | None = None, needs: tuple[str, ...] | list[st
 
 def load() -> dict[str, Query]:
     """All queries, grouped by topic."""
-    from reviewatlas.plans import bucketed, cleaning, comparing, evidence, linking, moving, named, quality, searching, sessions, social, stats, streams, tables, tagging  # noqa: F401
+    from reviewatlas.plans import bucketed, cleaning, comparing, evidence, linking, moving, named, quality, searching, sessions, social, sqltools, stats, streams, summing, tables, tagging  # noqa: F401
 
     return QUERIES
 
