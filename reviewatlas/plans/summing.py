@@ -40,20 +40,20 @@ def _(t):
     return exact.join(found, "category").select("category", "exact", _near(F.col("estimate"), F.col("exact"), sketches.DISTINCT_ERROR).alias("near"))
 
 
-@query("sketched_overlap", """SELECT count(*) FILTER (WHERE a AND NOT b) AS left_only, count(*) FILTER (WHERE a AND b) AS shared, count(*) FILTER (WHERE b AND NOT a) AS right_only, true AS near
-    FROM (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS a, bool_or(l_linestatus = 'O') AS b FROM lineitem GROUP BY 1) WHERE a OR b""")
+@query("sketched_overlap", """SELECT line, count(*) FILTER (WHERE a AND NOT b) AS left_only, count(*) FILTER (WHERE a AND b) AS shared, count(*) FILTER (WHERE b AND NOT a) AS right_only, true AS near
+    FROM (SELECT l_linenumber AS line, l_orderkey, bool_or(l_returnflag = 'R') AS a, bool_or(l_linestatus = 'O') AS b FROM lineitem GROUP BY 1, 2) WHERE a OR b GROUP BY 1""")
 def _(t):
-    """Orders in two sources of rows: the overlap of their sets from sketches of days, next to the exact one."""
-    rows = t.raw("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("ts"), "l_returnflag", "l_linestatus")
-    sides = [sketches.merged(sketches.daily(rows.filter(c), [], "ts", "id").withColumn("one", F.lit(1)), ["one"]) for c in ("l_returnflag = 'R'", "l_linestatus = 'O'")]
-    found = sketches.overlap(*sides, ["one"])
-    held = rows.groupBy("id").agg(F.bool_or(F.col("l_returnflag") == "R").alias("a"), F.bool_or(F.col("l_linestatus") == "O").alias("b"))
+    """Orders in two sources of rows, by line: the overlap of their sets from sketches of days, next to the exact one."""
+    rows = t.raw("lineitem").select(F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("ts"), "l_returnflag", "l_linestatus")
+    sides = [sketches.merged(sketches.daily(rows.filter(c), ["line"], "ts", "id"), ["line"]) for c in ("l_returnflag = 'R'", "l_linestatus = 'O'")]
+    found = sketches.overlap(*sides, ["line"])
+    held = rows.groupBy("line", "id").agg(F.bool_or(F.col("l_returnflag") == "R").alias("a"), F.bool_or(F.col("l_linestatus") == "O").alias("b"))
     a, b = F.col("a"), F.col("b")
-    exact = held.agg(F.count_if(a & ~b).alias("l"), F.count_if(a & b).alias("s"), F.count_if(b & ~a).alias("r")).withColumn("one", F.lit(1))
+    exact = held.groupBy("line").agg(F.count_if(a & ~b).alias("l"), F.count_if(a & b).alias("s"), F.count_if(b & ~a).alias("r"))
     # the error of each part is a share of the whole union
     union = F.col("l") + F.col("s") + F.col("r")
     near = lambda e, x: F.abs(F.col(e) - F.col(x)) <= F.greatest(union * sketches.DISTINCT_ERROR * 2, F.lit(1))
-    return exact.join(found, "one").select(F.col("l").alias("left_only"), F.col("s").alias("shared"), F.col("r").alias("right_only"), (near("left_only", "l") & near("shared", "s") & near("right_only", "r")).alias("near"))
+    return exact.join(found, "line").select("line", F.col("l").alias("left_only"), F.col("s").alias("shared"), F.col("r").alias("right_only"), (near("left_only", "l") & near("shared", "s") & near("right_only", "r")).alias("near"))
 
 
 @query("sketched_median", """SELECT platform, count(*) AS posts, true AS near FROM posts GROUP BY 1""", ["posts"])
