@@ -65,13 +65,13 @@ class Difference:
         return more / len(text) if text else 0.0
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> tuple[float, float]:
-    """(slope, offset) of greatest likelihood by Newton's method, each class with the same weight."""
+def logistic(x: np.ndarray, y: np.ndarray, share: float = 0.5, rounds: int = 50, ridge: float = 1e-3) -> tuple[float, float]:
+    """(slope, offset) of greatest likelihood by Newton's method, where ``share`` of all have y = 1, whatever their share in the sample."""
     if not len(x) or y.min() == y.max():
         return 0.0, 0.0
     scale = float(x.std()) or 1.0
     a = np.column_stack([x / scale, np.ones(len(x))])
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
     b = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
@@ -85,11 +85,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars: in
     """Learns from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) marks as good (1) or bad (0); other labels are skipped.
 
     The sample is drawn from the labels, so its ids, at most 2 * ``sample`` of them, are all that meets the documents; of these, texts that are
-    null, empty or of more than ``chars`` characters are left out. Without both labels every score is one half.
+    null, empty or of more than ``chars`` characters are left out. Of rows that share an id one text counts, that of the smallest hash. The curve
+    is fitted for the share of label 1 among all labels. Without both labels every score is one half.
     """
-    ids = bounded_sample(labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality"), "quality", "doc_id", sample)
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
+    ids = bounded_sample(known, "quality", "doc_id", sample)
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text").between(1, chars))
-    chosen = found.select("quality", "text", F.xxhash64("doc_id").alias("_at")).collect()
+    once = found.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    chosen = once.select("quality", "text", F.xxhash64("doc_id").alias("_at")).collect()
+    share = known.agg(F.avg("quality")).first()[0] or 0.5
     texts = {q: [r["text"].encode() for r in sorted(chosen, key=lambda r: (r["_at"], r["text"])) if r["quality"] == q] for q in (0, 1)}
     cut = {q: int(len(t) * DICTIONARY_SHARE) for q, t in texts.items()}
     model = Model(dictionary(texts[1][: cut[1]]), dictionary(texts[0][: cut[0]]), 0.0, 0.0)
@@ -97,12 +101,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars: in
     x = np.array([feature(t) for q in (0, 1) for t in texts[q][cut[q] :]])
     y = np.array([q for q in (0, 1) for _ in texts[q][cut[q] :]])
     if all(texts.values()):
-        model.slope, model.offset = logistic(x, y)
+        model.slope, model.offset = logistic(x, y, share)
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row, from the whole text alone: the chance, 0 to 1, that the label is 1 where both labels are as frequent.
+    """(doc_id, score) of every row, from the whole text alone: the chance, 0 to 1, that the label is 1.
 
     Null and empty texts have difference 0 and the score that belongs to it. Repeated rows repeat, a null doc_id is carried, other
     columns are ignored, an empty table gives none.

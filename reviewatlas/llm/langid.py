@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewatlas.llm.common import bounded_sample, slices
 
 #: Fitted on so many documents of each language, the first by a hash of the id; so many words and n-grams of each
-#: length are kept per language.
+#: length are kept per language, the most frequent first: caps on the size of the model, which every task holds.
 SAMPLE_DOCS, KEPT_WORDS, KEPT_GRAMS = 2000, 30_000, 10_000
 #: Longest n-gram; the count that a language without a word or n-gram is given.
 LONGEST, SMOOTHING = 4, 0.1
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: One rule for learning and prediction: a letter, and the letters and combining marks that follow.
+WORD = r"\p{L}[\p{L}\p{M}]*"
+LETTERS = regex.compile(WORD)
 
 
 def spark_words(text: Column) -> Column:
-    """Runs of letters in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+", -1), lambda w: w != "")
+    """The words of a text in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 @dataclass

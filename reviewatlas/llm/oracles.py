@@ -21,7 +21,7 @@ FROM p LEFT JOIN f ON p.digest = f.d
 """
 
 
-def quality_sql(min_docs: int = 20, min_percent: float = 0.2, max_line_words: int = 30, min_left_words: int = 30, min_left_percent: int = 30) -> str:
+def quality_sql(min_docs: int = 20, min_percent: float = 0.2, min_left_words: int = 30, min_left_percent: int = 30) -> str:
     symbols = quality.SYMBOLS
     return f"""
 WITH d AS (
@@ -38,7 +38,7 @@ WITH d AS (
 ), hosts AS (
   SELECT source, count(DISTINCT t) AS n_host FROM d GROUP BY source
 ), above AS (
-  SELECT o.norm, o.source FROM own o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source WHERE o.n <= {max_line_words}
+  SELECT o.norm, o.source FROM own o JOIN hosts h ON o.source IS NOT DISTINCT FROM h.source
   GROUP BY o.norm, o.source, h.n_host HAVING count(DISTINCT o.t) >= {min_docs} AND 100 * count(DISTINCT o.t) >= {min_percent} * h.n_host
 ), lost AS (
   SELECT o.rid, sum(o.n) AS removed_words FROM own o JOIN above a ON o.norm = a.norm AND o.source IS NOT DISTINCT FROM a.source GROUP BY o.rid

@@ -48,13 +48,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, fp long, body) of every row; body hashes the text, so rows that share a doc_id but not the text can be told apart."""
 
     def run(batch: pa.RecordBatch):
         fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), batch.column("body")], names=["doc_id", "fp", "body"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("body"))
+    return arrow_map(source, run, "doc_id long, fp long, body long")
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +146,7 @@ def links(nodes: DataFrame, max_bits: int = 2, pair_limit: int = PAIR_LIMIT) ->
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """(doc_id, fp long, component_id): documents linked at ``max_bits`` or fewer differing bits, and the
+    """(doc_id, fp long, component_id, body): documents linked at ``max_bits`` or fewer differing bits, and the
     smallest doc_id that is reachable, itself included.
 
     Null and empty texts have fingerprint zero and link like any other. Equal fingerprints are one node,
@@ -157,7 +158,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
     roots = connected(links(nodes, max_bits))
     component = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(component, "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(component, "fp", "left").select("doc_id", "fp", "component_id", "body")
 
 
 def hex_digits(fp: Column) -> Column:

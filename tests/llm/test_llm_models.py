@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
-from llm_cases import DOCS, odd_documents
+from llm_cases import DOCS, odd_documents, sentence
 
 from reviewatlas.llm import compression, extract, langid, queries
 
@@ -141,3 +141,61 @@ def test_odd_pages_and_an_empty_table(spark, frame, model):
     assert len(got) == 6 and next(r.n_chars for r in got if r.page_id == 5) >= 20_000 * 20
     assert extract.main_text(frame([], "page_id long, url string, html string"), model).count() == 0
     assert extract.Extractor(extract.fit(frame([], "page_id long, html string"))).text("<p>x") == ""
+
+
+def test_words_with_combining_marks_are_looked_up(spark):
+    texts = [("नमस्ते दुनिया नमस्ते", "hi", 1), ("สวัสดี ชาวโลก", "th", 2), ("café déjà", "fr", 3)]
+    model = langid.fit(spark.createDataFrame(texts, "text string, lang string, key long"))
+    assert {"नमस्ते", "สวัสดี", "café"} <= set(model.words)
+    scorer = langid.Scorer(model)
+    for text, lang, _ in texts:
+        assert all(w in model.words for w in langid.LETTERS.findall(text.lower())) and scorer.predict(text)[0] == lang
+    assert scorer.predict("́̀ 123") == ("und", 0.0)
+
+
+def plain_chances(train: list[tuple[str, int]], test: list[str]) -> list[float]:
+    """The share of label 1 and the model, with compressors made anew for every piece."""
+    import zstandard
+
+    model = compression.Model(*(compression.dictionary([t.encode() for t, q in train if q == k][: int(sum(q == k for _, q in train) * 2 / 3)]) for k in (1, 0)), 0.0, 0.0)
+
+    def feature(text: str) -> float:
+        data = text.encode()
+        sizes = [sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d)).compress(data[i : i + 1024])) for i in range(0, len(data), 1024)) for d in (model.bad, model.good)]
+        return (sizes[0] - sizes[1]) / len(data)
+
+    return [feature(t) for t in test]
+
+
+def test_the_difference_against_two_plain_compressors():
+    rng = random.Random(12)
+    good, bad = [sentence(rng, 60, 300) for _ in range(60)], [" ".join(f"z{rng.randrange(200)}!" for _ in range(60)) for _ in range(60)]
+    train = [(t, 1) for t in good] + [(t, 0) for t in bad]
+    test = [sentence(rng, n, 300) for n in (1, 40, 700)] + [bad[0][:300]]
+    model = compression.Model(compression.dictionary([t.encode() for t in good[:40]]), compression.dictionary([t.encode() for t in bad[:40]]), 0.0, 0.0)
+    assert [model.feature()(t.encode()) for t in test] == plain_chances(train, test)
+    assert model.feature()(b"") == 0.0
+
+
+def test_scores_are_chances(spark):
+    """Held-out rows, by tenths of the score: the share of label 1 is near the mean score."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    from reviewatlas.llm import queries
+
+    got = queries.op10_quality_classifier(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    bins = {}
+    for r in got:
+        bins.setdefault(min(9, int(r["score"] * 10)), []).append(r)
+    for rows in bins.values():
+        if len(rows) >= 50:
+            assert abs(sum(r["quality"] for r in rows) / len(rows) - sum(r["score"] for r in rows) / len(rows)) <= 0.1
+    assert docs.count() == 10_000
+
+
+def test_repeated_ids_are_learned_once(spark, frame):
+    rng = random.Random(13)
+    docs = [(i, sentence(rng, 50)) for i in range(40)] * 3 + [(i, "other " * 30) for i in range(40)]
+    labels = [(i, i % 2) for i in range(40)] + [(None, 1)]
+    model = compression.fit(frame(docs, "doc_id long, text string").repartition(5), frame(labels, "doc_id long, quality int"))
+    again = compression.fit(frame(docs[::-1], "doc_id long, text string").repartition(2), frame(labels, "doc_id long, quality int"))
+    assert model == again

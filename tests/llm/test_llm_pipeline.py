@@ -87,3 +87,16 @@ def test_queries_without_a_twin_give_a_row_per_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op3_mixing", "op7_simhash", "op8_language", "op10_quality_classifier"):
         assert queries.queries()[name](spark, SF).count() == n
+
+
+def test_rows_of_an_id_meet_their_own_fate(spark, frame):
+    """Ids 1 and 5 share a text, and 5 has another text of its own: that one stays."""
+    rng = random.Random(21)
+    shared, own = sentence(rng, 120), sentence(rng, 140)
+    rows = [(1, shared, "en", "a", 1), (5, shared, "en", "b", 1), (5, own, "en", "b", 1), (5, own, "de", "a", 1), (None, shared, "en", "a", 1), (7, None, "en", "a", 1), (8, "", "en", "a", 1)]
+    runs = []
+    for parts in (1, 5):
+        got = corpus_pipeline.simhash_dedup(spark, frame(rows, DOCS).repartition(parts), SF).collect()
+        runs.append(sorted(((r.doc_id, r.text, r.lang) for r in got), key=str))
+    want = [(1, shared, "en"), (5, own, "de"), (7, None, "en"), (None, shared, "en")]
+    assert runs[0] == runs[1] == sorted(want, key=str)

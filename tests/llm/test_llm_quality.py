@@ -106,3 +106,21 @@ def test_long_lines_are_counted_and_removed(spark, frame):
         got = {r.doc_id: (r.removed_words, r.kept) for r in quality.verdicts(spread(frame, rows)).collect()}
         assert got == {i: (n, True) for i in range(25)} | {100: (n, False)}
         assert not any(notice in r.text for r in quality.cleaned(spread(frame, rows)).collect())
+
+
+def test_the_twin_counts_long_lines(spark, frame, tmp_path):
+    import duckdb
+
+    from reviewatlas.llm import oracles, queries
+
+    rng = random.Random(6)
+    notice = sentence(rng, 45)
+    rows = [(i, f"{sentence(rng, 40)}\n{notice}\n{sentence(rng, 40)}", "en", "a", 1) for i in range(25)] + [(100, f"{notice}\n{sentence(rng, 20)}", "en", "a", 1)]
+    frame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = con.execute(oracles.quality_sql())
+    names = [d[0] for d in cur.description]
+    got = queries.op4_quality_rules(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(cur.fetchall())
+    assert {r["doc_id"]: r["removed_words"] for r in got} == {r[0]: 45 for r in rows}
