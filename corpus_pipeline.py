@@ -21,31 +21,46 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines above the frequency limits leave the others' texts."""
+    """Rejected documents go; lines above the frequency limits leave the others' texts.
+
+    Null and empty texts fail the base rules and go; a null id or source is a value like any other. Equal rows share their fate, rows that share
+    an id but not the text have each their own. An empty table stays empty; columns beyond those of documents are left out.
+    """
     return _documents(quality.cleaned(docs.select(*COLUMNS)))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; documents without an id stay."""
+    """Of each group of near copies the document with the smallest id stays; documents without an id stay.
+
+    The decision is one about a row's id and text: of rows that share an id but not the text each goes with the group of its own text. Rows
+    equal in both become one, the least by their other columns. Null and empty texts are near copies of each other. An empty table stays empty.
+    """
     found = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id", F.col("body").alias("_body")).distinct()
+    rest = docs.select(*COLUMNS, F.xxhash64("text").alias("_body")).join(gone, ["doc_id", "_body"], "left_anti")
     named, nameless = rest.where("doc_id is not null"), rest.where("doc_id is null")
-    return named.dropDuplicates(["doc_id"]).union(nameless).select(*COLUMNS)
+    once = named.groupBy("doc_id", "_body").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("_row"))
+    return once.select("doc_id", "_row.*").select(*COLUMNS).union(nameless.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds leave the text; a document without any other word goes."""
+    """Passages that an earlier document holds leave the text; a document without any other word goes.
+
+    Null and empty texts and rows without an id stay as they are, and so do, of rows that share an id but not the text, those whose
+    text has not the smallest hash. Equal rows share their fate. An empty table stays empty.
+    """
     return _documents(passages.without_repeats(docs.select(*COLUMNS)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark item go."""
+    """Documents with a benchmark item go. Null and empty texts hold none and stay, with or without an id; equal rows share their fate. Without
+    documents or without items nothing changes."""
     return decontam.uncontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their places in the mix; weights are the square roots of the sources' sizes."""
+    """All documents with their places in the mix; weights are the square roots of the sources' sizes. A null source is a source of its own, null
+    ids and texts take part, equal rows get consecutive places, and an empty table stays empty."""
     return mixing.mixed(docs.select(*COLUMNS))
 
 
