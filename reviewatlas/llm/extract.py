@@ -37,7 +37,9 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre "
     "section summary table tbody td tfoot th thead tr ul".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+START = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+STOP = re.compile("[>\"']")
+CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
 #: Mark of the main text in pages made for training; never a feature.
@@ -48,12 +50,29 @@ CUES = frozenset(
 )
 
 
+class Above:
+    """The features of a block's ancestors as a chain: those that an element adds to the ones around it. Blocks share the chain, so
+    it takes as much room as the page."""
+
+    __slots__ = ("around", "names", "weight")
+
+    def __init__(self, around: Above | None = None, names: tuple[str, ...] = ()):
+        self.around, self.names, self.weight = around, names, None
+
+    def all(self) -> frozenset[str]:
+        found, at = [], self
+        while at is not None:
+            found += at.names
+            at = at.around
+        return frozenset(found)
+
+
 @dataclass
 class Block:
-    """A leaf block: its text as it is read, the features of its ancestors, its own tag and those just above, linked characters, and its label in training."""
+    """A leaf block: its text as it is read, its ancestors' features, its own tag and those just above, linked characters, and its label in training."""
 
     text: str
-    above: frozenset[str]
+    above: Above
     path: str
     linked: int
     label: bool = False
@@ -66,18 +85,35 @@ class Block:
 @dataclass
 class _Open:
     name: str
-    above: frozenset[str]
+    above: Above
+    own: set[str]
     marked: bool
 
 
+def _behind(page: str, at: int) -> int:
+    """The place behind the > that ends a tag, those in quotes skipped; -1 where the page ends first."""
+    while (m := STOP.search(page, at)) and m[0] != ">":
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            return -1
+    return m.end() if m else -1
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks with text, in page order."""
+    """The leaf blocks with text, in page order.
+
+    The page is read once from front to back. Where a tag has a quote that never ends, tags end at their first > from there on, quoted or not;
+    behind the last > all is text.
+    """
     out: list[Block] = []
     if not page:
         return out
-    stack = [_Open("", frozenset(), False)]
+    stack = [_Open("", Above(), set(), False)]
+    opened: dict[str, int] = {}
+    held: dict[str, int] = {}
+    unclosed: set[str] = set()
     parts: list[str] = []
-    linked, at, end, in_link = 0, 0, len(page), 0
+    linked, at, end, in_link, quotes = 0, 0, len(page), 0, True
 
     def flush() -> None:
         nonlocal linked
@@ -93,34 +129,50 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal in_link
         for o in stack[depth:]:
             in_link -= o.name == "a"
+            opened[o.name] -= 1
+            for w in o.own:
+                held[w] -= 1
         del stack[depth:]
 
-    find = TOKEN.search
     while at < end:
-        m = find(page, at)
-        stop = m.start() if m else end
+        m = START.search(page, at)
+        name, stop = (m[2], m.start()) if m else (None, end)
+        if m is None:
+            behind = end
+        elif name:
+            behind = _behind(page, m.end()) if quotes else page.find(">", m.end()) + 1 or -1
+            if behind < 0 and quotes:
+                quotes, behind = False, page.find(">", m.end()) + 1 or -1
+        elif m[0] == "<!--":
+            behind = page.find("-->", m.end()) + 3
+            behind = behind if behind > 2 else end
+        else:
+            behind = page.find(">", m.end()) + 1 or -1
+        if behind < 0:
+            stop = behind = end
+            name = None
         if stop > at:
             piece = page[at:stop]
             parts.append(piece)
             if in_link:
                 linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
+        at = behind
         if name is None:
             continue
         name = name.lower()
         if m[1]:
             if name in BLOCK:
                 flush()
-            for depth in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                if stack[depth].name == name:
-                    pop(depth)
-                    break
+            if opened.get(name):
+                depth = len(stack) - 1
+                while stack[depth].name != name:
+                    depth -= 1
+                pop(depth)
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            close = None if name in unclosed else CLOSE[name].search(page, at)
+            if close is None:
+                unclosed.add(name)
             at = close.end() if close else end if name in ("script", "style", "textarea", "title") else at
             continue
         if name in BLOCK:
@@ -133,14 +185,17 @@ def blocks(page: str | None) -> list[Block]:
                 pop(len(stack) - 1)
         elif name == "br":
             parts.append(" ")
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID:
             continue
-        top, own = stack[-1], {f"in:{name}"} if name in BLOCK else set()
-        if m[3]:
-            for names in NAMES.findall(m[3]):
+        top, own, attributes = stack[-1], {f"in:{name}"} if name in BLOCK else set(), page[m.end() : behind - 1]
+        if attributes:
+            for names in NAMES.findall(attributes):
                 own.update(f"is:{w}" for w in PARTS.findall("".join(names).lower()))
-        above = top.above if own <= top.above else top.above | own
-        stack.append(_Open(name, above, top.marked or (bool(m[3]) and MARK in m[3])))
+        new = tuple(sorted(w for w in own if not held.get(w)))
+        for w in own:
+            held[w] = held.get(w, 0) + 1
+        opened[name] = opened.get(name, 0) + 1
+        stack.append(_Open(name, Above(top.above, new) if new else top.above, own, top.marked or MARK in attributes))
         in_link += name == "a"
     flush()
     return out
@@ -154,7 +209,7 @@ def features(found: list[Block]) -> list[list[str]]:
     """Text features of each block; the ancestors' come with ``above``."""
     rows = []
     for i, b in enumerate(found):
-        low = b.text[:400].lower()
+        low = b.text.lower()
         n = b.text.count(" ") + 1
         cues = CUES.intersection(PARTS.findall(low)) if n <= 40 else ()
         rows.append([
@@ -204,7 +259,7 @@ def fit_field(pages: list[list[Block]], rounds: int = 100, rate: float = 0.2, ri
     y, there = np.zeros((len(pages), width), dtype=np.int64), np.zeros((len(pages), width), dtype=bool)
     for r, page in enumerate(pages):
         for c, (b, own) in enumerate(zip(page, features(page), strict=True)):
-            ids = [index.setdefault(f, len(index)) for f in (*own, *sorted(b.above))]
+            ids = [index.setdefault(f, len(index)) for f in (*own, *sorted(b.above.all()))]
             cell += [r * width + c] * len(ids)
             feat += ids
             y[r, c], there[r, c] = b.label, True
@@ -247,7 +302,8 @@ ASIDE = frozenset(f"in:{x}" for x in "nav aside footer form header menu dialog".
 
 def own_labels(found: list[Block]) -> list[Block]:
     """Labels of a page by its own ``article`` or ``main`` elements."""
-    return [Block(b.text, b.above, b.path, b.linked, bool(b.above & {"in:article", "in:main"}) and not b.above & ASIDE) for b in found]
+    names = [b.above.all() for b in found]
+    return [Block(b.text, b.above, b.path, b.linked, bool(own & {"in:article", "in:main"}) and not own & ASIDE) for b, own in zip(found, names, strict=True)]
 
 
 #: (element, its class or id) around each kind of part in pages made for training.
@@ -311,21 +367,26 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS)
 
 
 class Extractor:
-    """Reads the main text of pages; what is known of a set of ancestors is remembered up to a bound."""
+    """Reads the main text of pages."""
 
     def __init__(self, model: Field):
-        self.model, self.known = model, {}
+        self.model = model
+
+    def weight(self, above: Above) -> float:
+        """The weights of the ancestors' features, worked out once for each element that adds some."""
+        chain = []
+        while above is not None and above.weight is None:
+            chain.append(above)
+            above = above.around
+        total = above.weight if above is not None else 0.0
+        for node in reversed(chain):
+            total += sum(self.model.weights.get(f, 0.0) for f in node.names)
+            node.weight = total
+        return total
 
     def labels(self, found: list[Block]) -> list[int]:
-        get, unary = self.model.weights.get, []
-        for b, own in zip(found, features(found), strict=True):
-            w = self.known.get(b.above)
-            if w is None:
-                if len(self.known) >= 1 << 16:
-                    self.known.clear()
-                w = self.known[b.above] = sum(get(f, 0.0) for f in b.above)
-            unary.append(w + sum(get(f, 0.0) for f in own))
-        return viterbi(unary, self.model)
+        get = self.model.weights.get
+        return viterbi([self.weight(b.above) + sum(get(f, 0.0) for f in own) for b, own in zip(found, features(found), strict=True)], self.model)
 
     def text(self, page: str | None) -> str:
         found = blocks(page)

@@ -105,7 +105,7 @@ def test_blocks_of_broken_markup():
       <article class="Post main"><p>one &amp; <b>two<br>three</b>&nbsp;four<p>five <a href='>'>six</a></article><p>se&eacute;ven"""
     found = extract.blocks(page)
     assert [b.text for b in found] == ["a", "b", "one & two three four", "five six", "seéven"]
-    assert {"in:article", "is:post", "is:main"} <= found[2].above and found[3].linked == 3 and "in:article" not in found[4].above
+    assert {"in:article", "is:post", "is:main"} <= found[2].above.all() and found[3].linked == 3 and "in:article" not in found[4].above.all()
     assert extract.blocks(None) == [] and extract.blocks("<p") != None and extract.blocks("<" * 1000 + "a") != None  # noqa: E711
     assert len(extract.blocks("<div>" * 5000 + "x" + "</div>" * 5000)) == 1
 
@@ -199,3 +199,85 @@ def test_repeated_ids_are_learned_once(spark, frame):
     model = compression.fit(frame(docs, "doc_id long, text string").repartition(5), frame(labels, "doc_id long, quality int"))
     again = compression.fit(frame(docs[::-1], "doc_id long, text string").repartition(2), frame(labels, "doc_id long, quality int"))
     assert model == again
+
+
+def grown(rng: random.Random, depth: int = 0) -> tuple:
+    """A random element: (name, attribute words, children); text leaves are strings."""
+    name = rng.choice(["div", "section", "article", "b", "a", "span", "ul", "p"] if depth < 5 else ["b", "a", "span"])
+    words = rng.sample(["post", "ad", "menu", "main", "x"], rng.randrange(3))
+    inline = name in ("b", "a", "span", "p")
+    children = [rng.choice(["one two", " three ", "four &amp; five", ""]) if depth > 4 or rng.random() < 0.4 else grown(rng, max(depth + 1, 5 if inline else 0)) for _ in range(rng.randrange(5))]
+    return name, words, children
+
+
+def written_out(node) -> str:
+    if isinstance(node, str):
+        return node
+    name, words, children = node
+    names = f" class='{' '.join(words)}'" if words else ""
+    return f"<{name}{names} title=\"a > b\">" + "".join(map(written_out, children)) + f"</{name}>"
+
+
+def walked(node, around=(), linked=False, out=None) -> list[list]:
+    """A plain walk over the tree: pieces of text between the edges of block elements, with all ancestors' names."""
+    out = [] if out is None else out
+    if isinstance(node, str):
+        out.append([node, set().union(*around) if around else set(), linked])
+        return out
+    name, words, children = node
+    block = name in extract.BLOCK
+    own = {f"is:{w}" for w in words} | ({f"in:{name}"} if block else set())
+    if block:
+        out.append(None)
+    for child in children:
+        walked(child, (*around, own), linked or name == "a", out)
+    if block:
+        out.append(("end", around))
+    return out
+
+
+def plain_blocks(tree) -> list[tuple]:
+    blocks, run = [], []
+    for piece in [*walked(tree), None]:
+        if isinstance(piece, list):
+            run.append(piece)
+            continue
+        text = " ".join("".join(p[0] for p in run).replace("&amp;", "&").split())
+        if text:
+            blocks.append((text, sum(len(p[0]) for p in run if p[2])))
+        run = []
+    return blocks
+
+
+def test_blocks_against_a_plain_tree_walk():
+    rng = random.Random(15)
+    seen = 0
+    for _ in range(400):
+        tree = ("div", [], [grown(rng) for _ in range(4)])
+        got = extract.blocks(written_out(tree))
+        assert [(b.text, b.linked) for b in got] == plain_blocks(tree)
+        seen += len(got)
+    assert seen > 1000
+    # the ancestors of a block that stands alone in its element
+    page = "<div class='a1 post'><section id=main><div class=post><p>text</p></div></section><b>x</b></div>"
+    found = extract.blocks(page)
+    assert found[0].above.all() == {"in:div", "in:section", "in:p", "is:a", "is:post", "is:main"} and found[1].above.all() == {"in:div", "is:a", "is:post"}
+
+
+def test_hostile_pages_end_in_time(model):
+    import time
+
+    reader = extract.Extractor(model)
+    deep = "".join(f"<div class='n{chr(97 + i % 26) * (1 + i // 26 % 30)}'>t" for i in range(50_000))
+    pages = ["<a " * 350_000, "<a '" * 250_000, '<a ">" ' * 170_000, "<svg>" * 200_000, "<a href='" + "x>" * 500_000, "<" * 1_000_000, "<!" * 500_000, deep, "<p>" * 300_000, "</div>" * 170_000, "<b>" * 300_000 + "</b>" * 300_000]
+    for page in pages:
+        start = time.time()
+        reader.text(page)
+        assert time.time() - start < 20, page[:20]
+
+
+def test_end_tags_close_at_any_depth_and_slashes_are_values():
+    found = extract.blocks("<article>" + "<div>" * 70 + "in</article><p>after</p><div><a href=http://x.org/>link</a> no</div>")
+    assert [("in:article" in b.above.all(), b.linked) for b in found] == [(True, 0), (False, 0), (False, 4)]
+    late = "word " * 30 + "©"
+    assert "mark:©" in extract.features([extract.Block("x" * 500 + late, extract.Above(), "p", 0)])[0]
