@@ -107,7 +107,7 @@ def test_ndjson_is_compressed_in_files_of_limited_rows(spark, tmp_path, monkeypa
     writers.write_ndjson(rows, str(tmp_path / "out"))
     files = [f for f in os.listdir(tmp_path / "out") if f.startswith("part-")]
     assert len(files) == 3
-    assert all(f.endswith(".json.gz") for f in files)
+    assert all(f.endswith(".json.lz4") for f in files)
     assert sum(os.path.getsize(tmp_path / "out" / f) for f in files) < 25 * 2000 / 4
     back = readers.read_ndjson(spark, str(tmp_path / "out"), rows.schema).select("id", "text")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
