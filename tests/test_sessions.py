@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from conftest import rows
 
@@ -77,3 +78,29 @@ def test_claims_expire_and_return(spark, tmp_path, feed):
         ("a", at(70), "w2", "completed"), ("b", at(0), "w1", "claimed"), ("b", at(30), "w1", "completed"), ("b", at(71), "w2", "refused"),
         ("c", at(5), "w3", "claimed"), ("c", at(65), "w3", "expired"), ("z", at(300), "w", "claimed"),
     ], key=str)
+
+
+def test_a_step_of_a_claim_needs_no_call_for_its_state():
+    """Rows of several parts are taken in order, nulls last; a claim ends when the watermark reaches its time, not before."""
+    class State:
+        exists, get, hasTimedOut, mark, held, until = False, None, False, 0, None, None
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+        def update(self, value):
+            self.held = value
+
+        def setTimeoutTimestamp(self, ms):
+            self.until = ms
+
+    state, steps = State(), sessions.claim_steps(1000)
+    parts = [pd.DataFrame({"ms": ms, "action": ["claim"] * len(ms), "worker": who}) for ms, who in (([50, 10], [None, "b"]), ([10, 50], ["a", "c"]))]
+    (out,) = steps(("x",), iter(parts), state)
+    assert list(zip(out["worker"], out["step"], strict=True)) == [("a", "claimed"), ("b", "refused"), ("c", "refused"), (None, "refused")]
+    assert state.held == ("QUEUED", "a", 1010) and state.until == 1009
+    state.exists, state.get, state.hasTimedOut, state.mark = True, state.held, True, 1009
+    assert list(steps(("x",), iter([]), state)) == [] and state.held[0] == "QUEUED"
+    state.mark = 1010
+    (out,) = steps(("x",), iter([]), state)
+    assert out["step"].tolist() == ["expired"] and state.held[0] == "PENDING"
