@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from reviewatlas.functions import columns as C
@@ -84,3 +85,9 @@ def test_labels(spark):
     assert values(spark, C.aspect_label("c", F.lit("raw")), ["Std", None]) == ["✅ Std", "⏳ raw"]
     label = C.product_label(F.lit("A1"), "c", F.lit(4.25), F.lit(12345))
     assert values(spark, label, ["a" * 26, "short"]) == [f"[A1] {'a' * 25}... | ⭐4.3 (12,345)", "[A1] short | ⭐4.3 (12,345)"]
+
+
+def test_a_prompt_record_is_not_rebuilt_by_character(frame):
+    df = frame([("k", 'a "b"\n\nc\u00e9\U0001f600"'), ("e", ""), ("n", None)], "k string, t string").select("k", C.prompt_record("k", "t").alias("r"))
+    assert rows(df) == [("e", "ID: e\nText: \n---\n"), ("k", "ID: k\nText: a 'b'  c\u00e9\U0001f600'\n---\n"), ("n", None)]
+    assert "translate" not in df._jdf.queryExecution().analyzed().toString().lower()

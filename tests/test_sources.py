@@ -130,3 +130,11 @@ def test_scratch_path_uses_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert path.startswith(shared)
     assert path != scratch_path(spark, "x")
+
+
+def test_lines_are_compressed_in_files_of_limited_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FILE_ROWS", 4)
+    writers.write_lines(spark.range(10).selectExpr("IF(id = 3, '', 'line ' || id) AS value", "id").coalesce(1), str(tmp_path / "lines"))
+    names = [f.name for f in (tmp_path / "lines").iterdir() if f.name.startswith("part-")]
+    assert len(names) == 3 and all(n.endswith(".txt.lz4") for n in names)
+    assert rows(spark.read.text(str(tmp_path / "lines"))) == sorted([("" if i == 3 else f"line {i}",) for i in range(10)])
