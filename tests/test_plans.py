@@ -48,3 +48,16 @@ def test_one_product_filter_reaches_the_scan(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     window = plan.index("Window")
     assert plan[window:].count("A000000010") >= 2
+
+
+def test_reviews_are_written_after_the_shuffle(spark, tmp_path):
+    from reviewatlas.plans.fixtures import Tables
+
+    row = "{n} AS l_orderkey, 7L AS l_partkey, 3L AS l_suppkey, 1 AS l_linenumber, {q} AS l_quantity, 2.0D AS l_extendedprice, 'N' AS l_returnflag, 'O' AS l_linestatus, {d} AS l_shipdate"
+    rows = [("1L", "4.0D", "timestamp_ntz'2024-01-02 03:00:00'"), ("1L", "3.0D", "timestamp_ntz'2024-01-01 05:00:00'"), ("CAST(NULL AS BIGINT)", "1.0D", "timestamp_ntz'2024-01-01 00:00:00'")]
+    spark.sql(" UNION ALL ".join("SELECT " + row.format(n=n, q=q, d=d) for n, q, d in rows)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    reviews = Tables(spark, str(tmp_path)).reviews
+    below = reviews._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)[1]
+    assert "author_name" not in below and "child_asin" not in below
+    got = {(r.review_id, r.parent_asin, r.child_asin, r.author_name, r.rating_score, str(r.review_date)) for r in reviews.collect()}
+    assert got == {("R1_1", "A000000005", "A000000007", "U3", 4.0, "2024-01-01"), (None, "A000000005", "A000000007", "U3", 2.0, "2024-01-01")}
