@@ -46,8 +46,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds leave the text; a document without any other word goes.
 
-    Null and empty texts and rows without an id stay as they are, and so do, of rows that share an id but not the text, those whose
-    text has not the smallest hash. Equal rows share their fate. An empty table stays empty.
+    Null and empty texts and rows without an id stay as they are. Of rows that share an id but not the text each loses the passages of its own text, that of the
+    smaller hash being the earlier one. Equal rows share their fate. An empty table stays empty.
     """
     return _documents(passages.without_repeats(docs.select(*COLUMNS)))
 
