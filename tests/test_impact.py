@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from reviewatlas.functions.frames import keep_one
 from reviewatlas.operators import aspects, quality, stats
 from reviewatlas.plans.fixtures import Tables
 
@@ -99,3 +100,20 @@ def test_partitioning_does_not_change_results(spark):
             seen.setdefault(name, []).append(rows(registry.runner(name)(spark, "/root/testdata/sf0.001")))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert all(a == b and a for a, b in seen.values())
+
+
+def test_product_stats_makes_its_reviews_and_tags_once(spark, frame):
+    """Reviews that are dear to make (a window each time) are made once, not for each aggregate."""
+    def made(rows_, ddl):
+        return keep_one(frame(rows_, ddl), ddl.split()[0], [F.col("parent_asin")])
+
+    products = frame([("P", "P", 4.0, 1000, None, '{"5": 90, "1": 10}'), ("Q", "Q", None, None, 2, None)], PRODUCT)
+    reviews = made([("r1", "P", "C", 5.0, None), ("r2", "P", "D", 1.0, None), ("r3", "Q", "Q", 3.0, None), (None, "Q", "Q", 2.0, None)], REVIEW)
+    tags = made([("t1", "r1", "P", "soft", "Positive"), ("t2", "r2", "P", "soft", "Negative"), ("t3", None, "Q", "zip", None)], TAG)
+    mapping = frame([("soft", "Softness", "Comfort")], MAPPING)
+    whole = stats.product_stats(products, reviews, tags, mapping)
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("row_number() windowspecdefinition(review_id") == 0
+    got = {r.asin: r.asDict(recursive=True) for r in whole.collect()}
+    assert [got[a]["kpis"]["total_reviews"] for a in "PQ"] == [1000, 2]
+    one = stats.product_stats(products, reviews, tags, mapping, frame([("P",), ("P",)], "asin string")).collect()
+    assert [r.asDict(recursive=True) for r in one] == [got["P"]]
