@@ -120,3 +120,29 @@ def test_review_sums_cancel_exactly(frame):
     old = old.withColumn("review_date", F.to_date("d"))
     both = partials.review_parts(old).unionByName(partials.review_parts(old.filter("child_asin = 'a'"), -1))
     assert rows(partials.added(both, partials.REVIEW_KEYS, partials.REVIEW_SUMS).select("child_asin", "n", F.col("score").cast("string"))) == [("b", 1, "0.300000")]
+
+
+def test_months_are_written_side_by_side_and_packed(spark, tmp_path, frame, monkeypatch):
+    import pyarrow.parquet as pq
+
+    name, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], jobs.overwrite_partitions
+    before = spark.conf.get(name)
+
+    def spied(df, path, by, **options):
+        if jobs.MONTH in by:
+            seen.append(df.sparkSession.conf.get(name))
+        write(df, path, by, **options)
+
+    monkeypatch.setattr(jobs, "overwrite_partitions", spied)
+    products, parents = frame([("c1", "P")], "asin string, parent_asin string"), frame([("P",)], "parent_asin string")
+    records = [{**review(f"r{i}", f"March 5, {1900 + i}"), "text": f"text {i % 3}"} for i in range(jobs.OPEN_MONTHS + 20)]
+    put(tmp_path / "src", "a.jsonl", records)
+    for kind, more in (("by_month", {"by_month": True}), ("indexed", {"index": str(tmp_path / "index"), "n": N})):
+        out, heads, check = (str(tmp_path / kind / p) for p in ("reviews", "parents", "check"))
+        stream = jobs.read_files(spark, str(tmp_path / "src"), "json", RAW, "*.jsonl")
+        jobs.stream_ingest(stream, products, parents, out, heads, check, **more).awaitTermination()
+        assert rows(spark.read.parquet(out), "review_id", "review_month", "text") == sorted((f"r{i}", f"{1900 + i}-03", f"text {i % 3}") for i in range(len(records)))
+        files = list((tmp_path / kind / "reviews").rglob("*.parquet"))
+        assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+    # the setting is that of the batch's own session
+    assert seen == [str(jobs.OPEN_MONTHS)] and spark.conf.get(name) == before
