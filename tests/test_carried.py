@@ -111,3 +111,34 @@ def test_ndjson_is_compressed_in_files_of_limited_rows(spark, tmp_path, monkeypa
     assert sum(os.path.getsize(tmp_path / "out" / f) for f in files) < 25 * 2000 / 4
     back = readers.read_ndjson(spark, str(tmp_path / "out"), rows.schema).select("id", "text")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_quotes_found_by_the_index_are_not_moved_by_row(spark, plain_plans, tmp_path):
+    from reviewatlas.operators import textindex
+
+    texts = _texts()
+    tags, reviews = _tags(spark, texts), _reviews(spark, texts)
+    tags, reviews = spark.createDataFrame(tags.collect(), tags.schema), spark.createDataFrame(reviews.collect(), reviews.schema)
+    path = str(tmp_path / "index")
+    textindex.add(reviews.select("text"), path, 0, 4)
+    keyed = tags.withColumn("quote_key", textindex.key_of("quote")), reviews.withColumn("text_key", textindex.key_of("text")).drop("text")
+    rows, moved = _moved(textindex.search_evidence(spark, path, *keyed, _mapping(spark), "abc, j", k=500))
+    plain = evidence.search_evidence(tags, reviews, _mapping(spark), keywords="abc, j", k=500).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, plain)) and len(rows) == N - 6
+    assert moved < N * SIZE / 4
+
+
+def test_the_index_makes_its_texts_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from reviewatlas.operators import textindex
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        made.add(1)
+        return f"text {n}"
+
+    texts = spark.range(20).select(F.udf(counted, "string").asNondeterministic()("id").alias("text"))
+    textindex.add(texts, str(tmp_path / "index"), 0, 4)
+    assert made.value == 20
