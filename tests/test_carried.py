@@ -142,3 +142,29 @@ def test_the_index_makes_its_texts_once(spark, tmp_path):
     texts = spark.range(20).select(F.udf(counted, "string").asNondeterministic()("id").alias("text"))
     textindex.add(texts, str(tmp_path / "index"), 0, 4)
     assert made.value == 20
+
+
+def test_a_digest_has_sixteen_bytes(spark):
+    from pyspark.sql import functions as F
+
+    rows, texts = apart(spark.createDataFrame([("a",), ("b",), (None,)], "text string"), "text")
+    assert sorted(r[0] or 0 for r in rows.select(F.length("text")).collect()) == [0, 16, 16]
+    assert texts.select("_key").distinct().count() == 2
+
+
+def test_cleaned_streams_are_packed(spark):
+    import pyarrow.parquet as pq
+
+    from reviewatlas.plans import registry
+
+    files = registry.runner("stream_clean")(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+
+
+def test_tags_meet_their_texts_without_ids_and_names(spark):
+    """What the joins of the tags move is made of stored numbers: no exchange but the last ones carries an id that was written out."""
+    from reviewatlas.plans.fixtures import Tables
+
+    plan = Tables(spark, "/root/testdata/sf0.001").review_tags_quoted._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join"):]
+    assert "AS tag_id" in plan[: plan.index("Join")] and "AS tag_id" not in below and "AS parent_asin" not in below
